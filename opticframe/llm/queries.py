@@ -53,7 +53,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.link(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.concat(*[F.substring(F.lower(F.hex("fp")), k, 2) for k in range(15, 0, -2)]).alias("fingerprint"), "component_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_url_filter, op3_graph_ann, op4_poisson_mixing, op5_token_counts, op6_sharding, op7_best_fit_packing, op8_wavelet_tokens, op9_embedding_dedup, op10_simhash_dedup)}

@@ -1,16 +1,20 @@
 """SimHash near-duplicates, by vantage-point trees.
 
-``fingerprints`` sums the bits of every word shingle's XXH64.  Equal fingerprints are one class.  A tree
-built from a bounded sample parts the classes by their Hamming distance from vantage points: near side up
-to a threshold, far side beyond.  A pair within the radius can lie on both sides only if its near one is
-within the radius of the boundary, so those near ones go to the far side as well (the triangle bound); then
-each such pair meets in at least one shard.  A shard goes on splitting by vantage points from its own
-midst, in memory, with the same bound, and compares what is left by XOR and bit counts.  It
-returns for each fingerprint the least one it is joined to, never its pairs.
+``fingerprints`` sums the bits of every word shingle's XXH64 (and, for more than 64 bits, of mixes of it).
+Equal fingerprints are one class.  A tree built from a bounded sample parts the classes by their Hamming
+distance from vantage points: near side up to a threshold, far side beyond.  A pair within the radius can
+lie on both sides only if its near one is within the radius of the boundary, so those near ones go to the
+far side as well (the triangle bound); then each such pair meets in at least one shard.  A shard goes on
+splitting by vantage points from its own midst, in memory, with the same bound, and compares what is left
+by XOR and bit counts.  It returns for each class the least one it is joined to, never its pairs.  Where
+no vantage point parts the rows, as with a radius near the spread of random distances, shards are tiled.
+
+``ratio`` (0: none) links only texts whose shingle counts differ by no more than that factor; it deals the
+classes to bands of the count as well, each compared within itself and with the band below.
 
 Defined results: null and empty texts have the fingerprint zero and link as any other; a shorter text than
-a shingle is one shingle; rows of one doc_id are one node; rows without doc_id have a fingerprint but no part
-in linking (component null); an empty table gives no rows.
+a shingle is one shingle; classes whose least doc_id is the same are one node; rows without doc_id have a
+fingerprint but no part in linking (component null); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,52 +34,78 @@ WORDS, RADIUS, SEED = 3, 2, 42
 #: Shingles that are hashed before their bits are summed.
 RUN = 1 << 14
 #: Fingerprints the tree is built from, at most; classes of a shard to aim at; of a task, beyond which a shard is tiled; compared outright.
-SAMPLE, SHARD_ROWS, TILE_ROWS, OUTRIGHT = 16_384, 8192, 65_536, 512
+SAMPLE, SHARD_ROWS, TILE_ROWS, OUTRIGHT = 16_384, 8192, 32_768, 512
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """SimHash of a whole text, as an unsigned number."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """Hashes of a whole text's word shingles, repeats included, in runs."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, and blanks are 09-0D and 20
     if not parts:
-        return 0
+        return
     data = b" ".join(parts)
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     end = np.cumsum(size + 1) - 1
-    begin = end - size
-    n = max(1, len(parts) - words + 1)
-    begins, ends = begin[:n].tolist(), (end[words - 1 :] if len(parts) >= words else end[-1:]).tolist()
-    ones, hash_ = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for lo in range(0, n, RUN):
-        h = np.array([hash_(data[a:b], SEED) for a, b in zip(begins[lo : lo + RUN], ends[lo : lo + RUN])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp long: the fingerprint's bits) of every document."""
+    begins, ends = (end - size)[: max(1, len(parts) - words + 1)].tolist(), (end[words - 1 :] if len(parts) >= words else end[-1:]).tolist()
+    hash_ = xxhash.xxh64_intdigest
+    for lo in range(0, len(begins), RUN):
+        yield np.array([hash_(data[a:b], SEED) for a, b in zip(begins[lo : lo + RUN], ends[lo : lo + RUN])], np.uint64)
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th 64 bits of a hash: itself, then finalised sums with an odd constant."""
+    if not k:
+        return h
+    z = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(text: str | None, words: int = WORDS, blocks: int = 1) -> tuple[np.ndarray, int]:
+    """SimHash of a whole text, as so many blocks of 64 bits, and its number of shingles."""
+    ones, n = np.zeros((blocks, 64), np.int64), 0
+    for h in shingle_hashes(text, words):
+        n += len(h)
+        for k in range(blocks):
+            ones[k] += np.unpackbits(mixed(h, k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0], n
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, blocks: int = 1) -> DataFrame:
+    """(doc_id, fp binary: little-endian blocks of 64 bits, shingles) of every document."""
     bounded_batches(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            made = [fingerprint(t, words, blocks) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64())], names=["doc_id", "fp", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, fp binary, shingles long")
+
+
+def blocks_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Fingerprints of a binary column as rows of 64-bit blocks."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), "<u8").reshape(len(values), -1) if values else np.zeros((0, 1), np.uint64)
+
+
+def distance(x: np.ndarray, vantage: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ vantage).sum(-1, dtype=np.int64)
 
 
 class VantageTree:
-    """Vantage points and thresholds of a binary tree; a leaf's number is its place in ``leaves``."""
+    """Vantage points and thresholds of a binary tree; leaves are numbered as they are met."""
 
     def __init__(self, sample: np.ndarray, depth: int, radius: int):
         self.radius, self.leaves = radius, 0
-        self.root = self._grow(np.unique(sample), depth)
+        self.root = self._grow(np.unique(sample, axis=0), depth)
 
     def _grow(self, x: np.ndarray, depth: int):
         if depth <= 0 or len(x) < 4 or (best := split(x, self.radius)) is None:
             self.leaves += 1
             return self.leaves - 1
         vantage, limit = best
-        near = np.bitwise_count(x ^ vantage) <= limit
+        near = distance(x, vantage) <= limit
         return vantage, limit, self._grow(x[near], depth - 1), self._grow(x[~near], depth - 1)
 
     def leaf_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,19 +118,18 @@ class VantageTree:
                 leaves.append(np.full(len(at), node, np.int32))
                 continue
             vantage, limit, near, far = node
-            d = np.bitwise_count(x[at] ^ vantage)
+            d = distance(x[at], vantage)
             todo += [(near, at[d <= limit]), (far, at[d > limit - self.radius])]
         return np.concatenate(places), np.concatenate(leaves)
 
 
-def split(x: np.ndarray, radius: int, tries: int = 6) -> tuple[np.uint64, int] | None:
+def split(x: np.ndarray, radius: int, tries: int = 6) -> tuple[np.ndarray, int] | None:
     """The vantage point (of some of x) and threshold whose two sides, with the boundary on both, have the fewest pairs; None if none parts x."""
     best, least = None, 0.8 * len(x) ** 2
     for k in range(tries):
         vantage = x[(k * 2 + 1) * len(x) // (2 * tries)]
-        count = np.bincount(np.bitwise_count(x ^ vantage), minlength=65)
-        near = np.cumsum(count).astype(float)
-        far = len(x) - np.r_[np.zeros(radius), near[: len(near) - radius]] if radius else len(x) - near  # those beyond the threshold less the radius
+        near = np.cumsum(np.bincount(distance(x, vantage), minlength=64 * x.shape[1] + 1)).astype(float)
+        far = len(x) - np.r_[np.zeros(radius), near[: len(near) - radius]]  # those beyond the threshold less the radius
         cost = near**2 + far**2
         limit = int(cost.argmin())
         if cost[limit] < least:
@@ -108,59 +137,94 @@ def split(x: np.ndarray, radius: int, tries: int = 6) -> tuple[np.uint64, int] |
     return best
 
 
-def join_near(x: np.ndarray, radius: int) -> Forest:
-    """Joins all pairs of fingerprints within the radius."""
+def join_near(x: np.ndarray, radius: int, shingles: np.ndarray | None = None, ratio: float = 0.0, home: np.ndarray | None = None) -> Forest:
+    """Joins all pairs of fingerprints within the radius and ratio; home: pairs of which neither is marked may be left out."""
     forest, todo = Forest(len(x)), [np.arange(len(x))]
     while todo:
         at = todo.pop()
         got = split(x[at], radius) if len(at) > OUTRIGHT else None
         if got is None:
-            for lo in range(0, len(at), OUTRIGHT):
-                a = at[lo : lo + OUTRIGHT]
-                for hi in range(lo, len(at), OUTRIGHT):
-                    b = at[hi : hi + OUTRIGHT]
-                    r, c = np.nonzero(np.bitwise_count(x[a][:, None] ^ x[b]) <= radius)
-                    forest.join(a[r], b[c])
+            _outright(forest, x, at, radius, shingles if ratio else None, ratio, home)
             continue
-        d = np.bitwise_count(x[at] ^ got[0])
+        d = distance(x[at], got[0])
         todo += [at[d <= got[1]], at[d > got[1] - radius]]
     return forest
 
 
-def near_edges(classes: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b) edges between the reps of classes (fp, rep) whose components are those of all pairs within the radius."""
+def _outright(forest: Forest, x: np.ndarray, at: np.ndarray, radius: int, shingles: np.ndarray | None, ratio: float, home: np.ndarray | None) -> None:
+    if shingles is not None:
+        at = at[np.argsort(shingles[at], kind="stable")]
+    for lo in range(0, len(at), OUTRIGHT):
+        a = at[lo : lo + OUTRIGHT]
+        for hi in range(lo, len(at), OUTRIGHT):
+            b = at[hi : hi + OUTRIGHT]
+            if shingles is not None and shingles[a[-1]] < ratio * shingles[b[0]]:
+                break  # those that follow have still more shingles
+            if home is not None and not home[a].any() and not home[b].any():
+                continue
+            d = np.bitwise_count(x[a, None, 0] ^ x[b, 0]).astype(np.uint16)
+            for k in range(1, x.shape[1]):
+                d += np.bitwise_count(x[a, None, k] ^ x[b, k])
+            r, c = np.nonzero(d <= radius)
+            if shingles is not None:
+                few, many = shingles[a[r]], shingles[b[c]]
+                close = np.minimum(few, many) >= ratio * np.maximum(few, many)
+                r, c = r[close], c[close]
+            forest.join(a[r], b[c])
+
+
+def near_edges(classes: DataFrame, radius: int, ratio: float = 0.0, shard_rows: int = SHARD_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(a, b) edges between the reps of classes (fp, rep, shingles) whose components are those of all pairs within the radius and ratio."""
     spark = classes.sparkSession
-    sample = [r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
+    sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow()
     depth = max(0, int(np.ceil(np.log2(max(1, classes.count() / shard_rows)))))
-    tree = VantageTree(np.array(sample, np.int64).view(np.uint64), depth, radius)
+    tree = VantageTree(blocks_of(sample.column("fp")), depth, radius)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, leaf = tree.leaf_of(batch.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(leaf)], names=["fp", "rep", "leaf"])
-
-    shards = Scratch(spark, "vantage").save(classes.select("fp", "rep").mapInArrow(dealt, "fp long, rep long, leaf int"))
-    sizes = shards.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).select("leaf", F.ceil(F.col("_n") / F.lit(TILE_ROWS)).cast("int").alias("blocks"))
-    tiled = shards.join(F.broadcast(sizes), "leaf").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))  # sizes: a row for each leaf of the tree
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "rep")
+            at, leaf = tree.leaf_of(blocks_of(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(leaf)], names=["fp", "rep", "shingles", "leaf"])
+
+    shards = classes.select("fp", "rep", "shingles").mapInArrow(dealt, "fp binary, rep long, shingles long, leaf int")
+    # a pair within the ratio is in one band or in two that follow each other: each row also visits the band above its own
+    band = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1)).cast("double")) / F.lit(-float(np.log(ratio))) + F.lit(1e-9)).cast("int") if ratio else F.lit(0)
+    visits = F.array(F.lit(0), F.lit(1)) if ratio else F.array(F.lit(0))
+    shards = shards.withColumn("up", F.explode(visits)).withColumn("band", band + F.col("up")).withColumn("home", F.col("up") == 0).drop("up")
+    shards = Scratch(spark, "vantage").save(shards)
+    sizes = shards.groupBy("leaf", "band").agg(F.count(F.lit(1)).alias("_n")).select("leaf", "band", F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("blocks"))
+    tiled = shards.join(F.broadcast(sizes), ["leaf", "band"])  # sizes: a row for each leaf of the tree and each of the few bands of the count's logarithm
+    tiled = tiled.withColumn("block", F.pmod(F.xxhash64("fp", "shingles"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = tiled.select("leaf", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "rep", "shingles", "home")
 
     def joined(shard: pa.Table) -> pa.Table:
         shard = shard.take(pa.array(np.argsort(shard.column("rep").to_numpy(), kind="stable")))
-        rep = shard.column("rep").to_numpy()
-        hub = rep[join_near(shard.column("fp").to_numpy().view(np.uint64), radius).label]
+        rep, count = shard.column("rep").to_numpy(), shard.column("shingles").to_numpy()
+        hub = rep[join_near(blocks_of(shard.column("fp")), radius, count, ratio, shard.column("home").to_numpy()).label]
         apart = hub != rep
         return pa.table({"a": rep[apart], "b": hub[apart]})
 
-    return tiled.groupBy("leaf", "i", "j").applyInArrow(joined, "a long, b long")
+    return tiled.groupBy("leaf", "band", "i", "j").applyInArrow(joined, "a long, b long")
 
 
-def link(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) of every document: components of fingerprints within the radius."""
+def link(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int = 1, ratio: float = 0.0) -> DataFrame:
+    """(doc_id, fp, component_id) of every document: components of fingerprints within the radius (and ratio)."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.save(fingerprints(docs, words))
-    classes = scratch.save(rows.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")))
-    components = connected_components(near_edges(classes, radius), scratch)
-    known = classes.join(components, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
-    found = attach(rows, known, "fp", "doc_id", "n", rows.count())
-    return found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    rows = scratch.save(fingerprints(docs, words, blocks).withColumn("key", F.unhex(F.md5(F.concat("fp", F.col("shingles").cast("string").cast("binary"))) if ratio else F.md5("fp"))))
+    classes = rows.where(F.col("doc_id").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "fp", "shingles")).alias("least"))
+    classes = scratch.save(classes.select("key", "n", F.col("least.doc_id").alias("rep"), "least.fp", "least.shingles"))
+    components = connected_components(near_edges(classes, radius, ratio), scratch)
+    known = classes.join(components, F.col("rep") == F.col("node"), "left").select("key", "n", F.coalesce("component", "rep").alias("component_id"))
+    found = attach(rows.select("doc_id", "fp", "key"), known, "key", "doc_id", "n", rows.count())
+    return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 4) -> DataFrame:
+    """The documents, with all their columns, without those that resemble one with a smaller doc_id, directly or through others.
+
+    Two texts resemble each other if the cosine that their fingerprints estimate, cos(pi * distance / bits),
+    and the ratio of their shingle counts are at least the similarity.  Rows without doc_id stay; rows of
+    one doc_id stay or go together.
+    """
+    radius = int(np.floor(np.arccos(similarity) / np.pi * 64 * blocks))
+    gone = link(docs, words, radius, blocks, similarity).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(Scratch(docs.sparkSession, "copies").save(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
