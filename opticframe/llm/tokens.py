@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
+import string
 from collections.abc import Iterable
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries and length of a key of the word cache; longer or later words are encoded anew each time.
-CACHE_WORDS, CACHE_CHARS = 300_000, 40
+#: Entries and length of a key of the word cache; beyond, words outside the batch at hand are forgotten, and longer ones never kept.
+CACHE_WORDS, CACHE_CHARS = 400_000, 40
+#: ASCII signs that form one pre-token when they follow letters; the apostrophe can begin one of its own.
+SIGNS = string.punctuation.replace("'", "")
+LATIN = re.compile("[\0-\u024f]*").fullmatch
 _ENCODERS: dict[str, "TextEncoder"] = {}
 
 
@@ -23,28 +29,80 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 class TextEncoder:
     """Encodes texts word by word through a cache; the ids equal those of encoding each whole text.
 
-    Only for vocabularies that drop white space before their merges, as ``word_bpe_49k.json`` does:
-    there no merge, no normalisation and no special token reaches over a blank, so that the ids of a
-    text are those of its blank-separated parts, one after the other.
+    Only for vocabularies that drop white space before their merges and mark word ends, as
+    ``word_bpe_49k.json`` does: there no merge, no normalisation and no special token reaches over a
+    blank, so that the ids of a text are those of its blank-separated parts, one after the other.  A part
+    of letters and then signs is two pre-tokens; new letter runs are encoded many at a time, and parted
+    where a token ends a word.
     """
 
+    END = "</w>"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(self.END)]] = True
         self.cache: dict[str, bytes] = {"": b""}
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _stems(self, stems: list[str]) -> dict[str, bytes]:
+        """Ids of runs of Latin letters, each one pre-token."""
+        out: dict[str, bytes] = {}
+        for lo in range(0, len(stems), 4096):
+            some = stems[lo : lo + 4096]
+            ids = self._ids([" ".join(some)])[0]
+            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            data = ids.tobytes()
+            if len(cut) != len(some) or cut[-1] != len(ids):
+                out.update((w, x.tobytes()) for w, x in zip(some, self._ids(some)))
+                continue
+            out.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, [0, *cut], cut))
+        return out
+
+    def _learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of words."""
+        split, heads, tails, whole = [], [], [], []
+        for w in words:
+            stem = w.rstrip(SIGNS)
+            if stem.isalpha() and (stem.isascii() or LATIN(stem)):
+                split.append(w)
+                heads.append(stem.lower() if stem.isascii() else stem)
+                tails.append(w[len(stem) :])
+            else:
+                whole.append(w)
+        stems = self._stems(list(dict.fromkeys(heads)))
+        kinds = sorted(set(tails) - {""})
+        signs = dict(zip(kinds, (x.tobytes() for x in self._ids(kinds)))) | {"": b""}
+        out = {w: stems[h] + signs[t] for w, h, t in zip(split, heads, tails)}
+        for lo in range(0, len(whole), 4096):
+            some = whole[lo : lo + 4096]
+            out.update((w, x.tobytes()) for w, x in zip(some, self._ids(some)))
+        return out
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text (null: none) as little-endian unsigned 32-bit integers."""
+        collects = gc.isenabled()
+        gc.disable()  # millions of strings and no cycles: the collector would only walk them again and again
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: Iterable[str | None]) -> list[bytes]:
         parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        words = set().union(*parts)
         if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
-        cache, rare = self.cache, {}
-        missing = list({w for p in parts for w in p}.difference(cache))
-        for lo in range(0, len(missing), 4096):
-            some = missing[lo : lo + 4096]
-            for word, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                (cache if len(word) <= CACHE_CHARS else rare)[word] = np.array(got.ids, "<u4").tobytes()
+            self.cache = {w: x for w, x in self.cache.items() if w in words} | {"": b""}
+        cache = self.cache
+        new = self._learn(words.difference(cache))
+        rare = {w: new.pop(w) for w in [w for w in new if len(w) > CACHE_CHARS]}
+        cache.update(new)
         if not rare:
             return [b"".join(map(cache.__getitem__, p)) for p in parts]
         return [b"".join([cache[w] if w in cache else rare[w] for w in p]) for p in parts]
