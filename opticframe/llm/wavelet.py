@@ -45,8 +45,8 @@ class WaveletMatrix:
         planes, zeros = [], []
         for k in range(bits - 1, -1, -1):
             ones = (values & values.dtype.type(1 << k)) != 0
-            low = values[~ones]
-            values = np.concatenate([low, values[ones]])
+            low = np.flatnonzero(~ones)  # taking by places is far faster than by a mask
+            values = values.take(np.concatenate([low, np.flatnonzero(ones)]))
             planes.append(np.packbits(ones, bitorder="little"))
             zeros.append(low.size)
         return cls(values.size, planes, zeros)
@@ -57,8 +57,8 @@ class WaveletMatrix:
         for k, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1])):
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             back = np.empty_like(out)
-            back[~ones] = out[:zeros]
-            back[ones] = out[zeros:] | dtype(1 << k)
+            back[np.flatnonzero(~ones)] = out[:zeros]
+            back[np.flatnonzero(ones)] = out[zeros:] | dtype(1 << k)
             out = back
         return out
 
@@ -73,7 +73,7 @@ class WaveletMatrix:
         plane, block = self.planes[level], at // BLOCK
         byte = block[:, None] * (BLOCK // 8) + np.arange(BLOCK // 8)
         within = np.unpackbits(np.where(byte < plane.size, plane[np.minimum(byte, max(plane.size - 1, 0))] if plane.size else 0, 0).astype(np.uint8), axis=1, bitorder="little")
-        return self._counts[level][block] + (within * (np.arange(BLOCK) < (at % BLOCK)[:, None])).sum(1)
+        return self._counts[level][block] + (within * (np.arange(BLOCK) < (at % BLOCK)[:, None])).sum(1, dtype=np.int64)
 
     def access(self, at) -> np.ndarray:
         """Values at places."""
