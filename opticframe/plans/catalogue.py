@@ -1,4 +1,407 @@
-"""The registered queries, and DuckDB SQL for those that SQL can express."""
+"""The registered queries, and DuckDB SQL for those that SQL can express.
+
+A row of `embeddings` stands for a descriptor; its image is vec_id % 50, images 0-24 are queries, 25-49 references.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import reshape, vec
+from ..operators import cluster, flow, grid, match, nn
+from ..sources import readers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+def IMAGE():
+    return F.col("vec_id") % 50
+
+
+K = 8
+
+
+def register(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+
+
+def first_centroids(spark: SparkSession, sf_dir: str) -> list[list[float]]:
+    rows = embeddings(spark, sf_dir).where(F.col("vec_id").between(0, K - 1)).orderBy("vec_id").collect()
+    return [list(map(float, r["embedding"])) for r in rows]
+
+
+def frames(spark: SparkSession) -> DataFrame:
+    return readers.synthetic_frames(spark)
+
+
+# --- SQL fragments -------------------------------------------------------------------------------------------------------
+_SUM = "list_reduce(list_prepend(0.0::DOUBLE, {0}), lambda p, q: p + q)"
+_E = "SELECT vec_id, label, embedding::DOUBLE[] AS e, vec_id % 50 AS image FROM embeddings"
+_D = "sqrt(" + _SUM.format("list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))") + ")"
+_DOT = _SUM.format("list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2])")
+_PAIRS = f"WITH e AS ({_E}), d AS (SELECT a.vec_id AS q, a.image AS qi, b.vec_id AS p, b.image AS pi, {_D.format('a.e', 'b.e')} AS d FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id)"
+_RATIO = _PAIRS + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY q, pi ORDER BY d, p) AS rank FROM d WHERE qi < 25 AND pi >= 25),
+m AS (SELECT q, qi, pi, min_by(p, rank) AS p, min(d) AS d1, max(CASE WHEN rank = 2 THEN d END) AS d2 FROM r WHERE rank <= 2 GROUP BY q, qi, pi),
+hits AS (SELECT * FROM m WHERE d1 < 2 AND (d2 IS NULL OR d1 < 0.95 * d2)),
+n AS (SELECT image, count(*) AS n FROM e GROUP BY image),
+scores AS (SELECT qi AS source, pi AS target, count(*) / greatest(a.n, b.n) AS score FROM hits JOIN n AS a ON a.image = qi JOIN n AS b ON b.image = pi GROUP BY qi, pi, a.n, b.n)"""
+_CENTRES = f"WITH e AS ({_E}), c0 AS (SELECT vec_id AS cid, e AS c FROM e WHERE vec_id < {K})"
+
+
+def _step(k: int, was: str) -> str:
+    """Assignment to, and update of, the centroids in table `was`, as tables a<k> and c<k>."""
+    return f""",
+a{k} AS (SELECT vec_id, image, e, arg_min(cid, (d, cid)) AS cid, min(d) AS distance FROM (SELECT vec_id, image, e, cid, {_D.format('e', 'c')} AS d FROM e CROSS JOIN {was}) GROUP BY vec_id, image, e),
+m{k} AS (SELECT cid, list(m ORDER BY i) AS c FROM (SELECT cid, i, avg(e[i]) AS m FROM a{k}, range(1, 65) AS r(i) GROUP BY cid, i) GROUP BY cid),
+c{k} AS (SELECT w.cid, coalesce(m.c, w.c) AS c FROM {was} AS w LEFT JOIN m{k} AS m ON m.cid = w.cid)"""
+
+
+_BAGS = _CENTRES + _step(1, "c0") + f""",
+h AS (SELECT image, [count(*) FILTER (WHERE cid = 0), {', '.join(f'count(*) FILTER (WHERE cid = {i})' for i in range(1, K))}]::DOUBLE[] AS w FROM a1 GROUP BY image),
+bags AS (SELECT image, list_transform(w, lambda x: x / sqrt({_DOT.format('w', 'w')})) AS bow FROM h)"""
+_V = "((x * 7 + y * 13 + f * 5 + (x * y) % 11) % 256)::DOUBLE"
+_PX = f"WITH px AS (SELECT f, y, x, {_V} AS v FROM range(0, 4) AS a(f), range(0, 20) AS b(y), range(0, 24) AS c(x))"
+
+
+def _correlate(src: str, value: str, kernel: str) -> str:
+    """Correlation of a table's column with (dy, dx, w), edges clamped."""
+    return f"SELECT t.f, t.y, t.x, sum(k.w * s.{value}) AS v FROM {src} AS t CROSS JOIN ({kernel}) AS k(dy, dx, w) JOIN {src} AS s ON s.f = t.f AND s.y = least(greatest(t.y + k.dy, 0), 19) AND s.x = least(greatest(t.x + k.dx, 0), 23) GROUP BY t.f, t.y, t.x"
+
+
+_KX = "VALUES (-1,-1,1.0),(-1,1,-1.0),(0,-1,2.0),(0,1,-2.0),(1,-1,1.0),(1,1,-1.0)"
+_KY = "VALUES (-1,-1,1.0),(-1,0,2.0),(-1,1,1.0),(1,-1,-1.0),(1,0,-2.0),(1,1,-1.0)"
+_GAUSS = "SELECT i, j, exp(-(i*i + j*j) / (2.0 * {0} * {0})) / pow((SELECT sum(exp(-(z*z) / (2.0 * {0} * {0}))) FROM range(-{1}, {1} + 1) AS t(z)), 2) FROM range(-{1}, {1} + 1) AS a(i), range(-{1}, {1} + 1) AS b(j)"
+_W2 = "SELECT i, j, pow(exp(-(i*i + j*j) / 18.0), 2) FROM range(-3, 4) AS a(i), range(-3, 4) AS b(j)"
+_FLOW = _PX + f""",
+gx AS ({_correlate('px', 'v', _KX)}), gy AS ({_correlate('px', 'v', _KY)}),
+g AS (SELECT a.f, a.y, a.x, gx.v AS ix, gy.v AS iy, b.v - a.v AS it FROM px AS a JOIN px AS b ON b.f = a.f + 1 AND b.y = a.y AND b.x = a.x JOIN gx ON gx.f = a.f AND gx.y = a.y AND gx.x = a.x JOIN gy ON gy.f = a.f AND gy.y = a.y AND gy.x = a.x),
+s AS (SELECT t.f, t.y, t.x, sum(k.w * s.ix * s.ix) AS xx, sum(k.w * s.ix * s.iy) AS xy, sum(k.w * s.iy * s.iy) AS yy, sum(k.w * s.ix * s.it) AS xt, sum(k.w * s.iy * s.it) AS yt
+      FROM g AS t CROSS JOIN ({_W2}) AS k(dy, dx, w) JOIN g AS s ON s.f = t.f AND s.y = least(greatest(t.y + k.dy, 0), 19) AND s.x = least(greatest(t.x + k.dx, 0), 23) GROUP BY t.f, t.y, t.x),
+uv AS (SELECT f + 1 AS frame_no, y, x,
+       CASE WHEN x <= 3 OR x >= 20 OR y <= 3 OR y >= 16 OR xx * yy - xy * xy = 0 THEN 0 ELSE -(yy * xt - xy * yt) / (xx * yy - xy * xy) END AS u,
+       CASE WHEN x <= 3 OR x >= 20 OR y <= 3 OR y >= 16 OR xx * yy - xy * xy = 0 THEN 0 ELSE -(xx * yt - xy * xt) / (xx * yy - xy * xy) END AS v FROM s)"""
+_EMA = _FLOW + """,
+sm AS (SELECT a.frame_no, a.y, a.x, sum(0.1 * pow(0.9, a.frame_no - b.frame_no) * b.u) AS u, sum(0.1 * pow(0.9, a.frame_no - b.frame_no) * b.v) AS v FROM uv AS a JOIN uv AS b ON a.y = b.y AND a.x = b.x AND b.frame_no <= a.frame_no GROUP BY a.frame_no, a.y, a.x)"""
+_POOL = _EMA + """,
+cells AS (SELECT frame_no, i, j, avg(u) AS u, avg(v) AS v FROM sm JOIN (SELECT i, j FROM range(0, 5) AS a(i), range(0, 5) AS b(j)) ON abs(y - i * 20 // 5) <= 5 AND abs(x - j * 24 // 5) <= 5 GROUP BY frame_no, i, j),
+kept AS (SELECT * FROM cells WHERE sqrt(u * u + v * v) > 1e-4)"""
+
+
+# --- nearest neighbours --------------------------------------------------------------------------------------------------
+_TOP = " SELECT q AS query_id, rank::INT AS rank, p AS vec_id, round(d, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, p) AS rank FROM d) WHERE rank <= "
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return df.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.round("distance", 9).alias("distance"))
+
+
+@register(_PAIRS + _TOP + "1")
+def nn_exact_1(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return _found(nn.search(e, e, k=1))
+
+
+@register(_PAIRS + _TOP + "5")
+def knn_5(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return _found(nn.search(e, e, k=5))
+
+
+@register(_PAIRS + " SELECT q AS query_id, p AS vec_id, round(d, 9) AS distance FROM d WHERE d <= 1.1")
+def radius_nn(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return _found(nn.search(e, e, k=None, radius=1.1)).drop("rank")
+
+
+@register(f"WITH e AS ({_E}) SELECT a.vec_id AS query_id, b.vec_id AS id FROM e AS a JOIN e AS b ON a.e = b.e")
+def point_lookup(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return nn.point_lookup(e, e)
+
+
+@register()
+def nn_recall(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return nn.recall(nn.lsh(e), nn.search(e, e, k=1))
+
+
+# --- matching ------------------------------------------------------------------------------------------------------------
+def _matches(spark, sf_dir):
+    e = embeddings(spark, sf_dir).withColumn("image", IMAGE())
+    return e, match.ratio_match(e.where("image < 25"), e.where("image >= 25"), absolute=2.0, relative=0.95, group="image")
+
+
+@register(_RATIO + " SELECT q AS query_id, pi AS target, p AS vec_id, round(d1, 9) AS d1, round(d2, 9) AS d2 FROM hits")
+def ratio_match_095(spark, sf_dir):
+    return _matches(spark, sf_dir)[1].select("query_id", F.col("group").alias("target"), F.col("id").alias("vec_id"), F.round("d1", 9).alias("d1"), F.round("d2", 9).alias("d2"))
+
+
+@register(_RATIO + ", c AS (SELECT (SELECT count(DISTINCT q) FROM hits) AS matched, (SELECT count(*) FROM e WHERE image < 25) AS detected) SELECT matched, detected, round(matched / detected, 9) AS rate, matched / detected >= 0.8 AS passed FROM c")
+def match_rate(spark, sf_dir):
+    e, m = _matches(spark, sf_dir)
+    return match.match_rate(m.select("query_id").distinct(), e.where("image < 25")).withColumn("rate", F.round("rate", 9))
+
+
+@register(_RATIO + " SELECT source, target, round(score, 9) AS score FROM scores")
+def image_pair_score(spark, sf_dir):
+    e, m = _matches(spark, sf_dir)
+    return match.image_scores(m, e, F.col("image")).withColumn("score", F.round("score", 9))
+
+
+@register(_RATIO + """,
+best AS (SELECT *, coalesce(max(score) OVER (PARTITION BY source ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM scores),
+ranked AS (SELECT source, target, round(score, 9) AS score, row_number() OVER (PARTITION BY source ORDER BY target DESC)::INT AS rank FROM best WHERE score > b) SELECT * FROM ranked WHERE rank <= 3""")
+def image_rank_records(spark, sf_dir):
+    e, m = _matches(spark, sf_dir)
+    return match.records(match.image_scores(m, e, F.col("image"))).select("source", "target", F.round("score", 9).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+# --- vectors and reshapes ------------------------------------------------------------------------------------------------
+def _rounded(v, digits: int = 9):
+    return F.transform(v, lambda x: F.round(x, digits))
+
+
+_NEXT = f"WITH e AS ({_E}), p AS (SELECT a.vec_id, a.e AS a, b.e AS b FROM e AS a JOIN e AS b ON b.vec_id = a.vec_id + 1)"
+
+
+@register(_NEXT + f" SELECT vec_id, round({_D.format('a', 'b')}, 9) AS l2, round({_DOT.format('a', 'b')}, 9) AS dot, round({_DOT.format('a', 'b')} / (sqrt({_DOT.format('a', 'a')}) * sqrt({_DOT.format('b', 'b')})), 9) AS cosine FROM p")
+def vec_l2_cosine_dot(spark, sf_dir):
+    e = embeddings(spark, sf_dir).select("vec_id", vec.doubles("embedding").alias("a"))
+    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    a, b = F.col("a"), F.col("b")
+    return p.select("vec_id", F.round(vec.distance(a, b), 9).alias("l2"), F.round(vec.dot(a, b), 9).alias("dot"), F.round(vec.cosine(a, b), 9).alias("cosine"))
+
+
+def _flat(df, name="v"):
+    """(vec_id, i, value) of an array column."""
+    return df.select("vec_id", F.posexplode(name).alias("i", "value")).select("vec_id", "i", F.round("value", 9).alias("value"))
+
+
+_UNNEST = " SELECT vec_id, (unnest(range(1, len(v) + 1)) - 1)::INT AS i, round(unnest(v), 9) AS value FROM ({0})"
+
+
+@register(f"WITH e AS ({_E})" + _UNNEST.format(f"SELECT vec_id, list_transform(e, lambda x: x / sqrt({_DOT.format('e', 'e')})) AS v FROM e"))
+def vec_normalize(spark, sf_dir):
+    return _flat(embeddings(spark, sf_dir).select("vec_id", vec.normalized(vec.doubles("embedding")).alias("v")))
+
+
+@register(f"WITH e AS ({_E}), m AS (SELECT vec_id, e, list_avg(e) AS a, list_stddev_pop(e) AS s FROM e)" + _UNNEST.format("SELECT vec_id, list_transform(e, lambda x: (x - a) / s) AS v FROM m"))
+def vec_standardize(spark, sf_dir):
+    return _flat(embeddings(spark, sf_dir).select("vec_id", vec.standardized(vec.doubles("embedding")).alias("v")))
+
+
+@register(f"WITH e AS ({_E})" + _UNNEST.format("SELECT vec_id, list_transform(range(0, 8), lambda i: list_sum(e[i * 8 + 1 : i * 8 + 8]) / 8) AS v FROM e"))
+def chunk_mean(spark, sf_dir):
+    return _flat(embeddings(spark, sf_dir).select("vec_id", reshape.chunk_mean(vec.doubles("embedding")).alias("v")))
+
+
+@register(f"WITH e AS ({_E}) SELECT vec_id, j::INT AS j, i::INT AS i, round(e[i * 8 + j + 1], 9) AS value FROM e, range(0, 8) AS a(j), range(0, 8) AS b(i)")
+def strided_transpose(spark, sf_dir):
+    e = embeddings(spark, sf_dir).select("vec_id", F.posexplode(reshape.strided(vec.doubles("embedding"))).alias("j", "v"))
+    return e.select("vec_id", "j", F.posexplode("v").alias("i", "value")).withColumn("value", F.round("value", 9))
+
+
+@register(f"WITH e AS ({_E}) SELECT vec_id, j::INT AS j, i::INT AS i, round(e[j * 8 + i + 1], 9) AS value FROM e, range(0, 8) AS a(j), range(0, 8) AS b(i)")
+def chunk_explode(spark, sf_dir):
+    e = embeddings(spark, sf_dir).select("vec_id", F.posexplode(reshape.chunks(vec.doubles("embedding"), 8)).alias("j", "v"))
+    return e.select("vec_id", "j", F.posexplode("v").alias("i", "value")).withColumn("value", F.round("value", 9))
+
+
+@register("SELECT vec_id, label FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings) WHERE r % 10 = 0 AND r / 10 < 10000")
+def systematic_sample(spark, sf_dir):
+    return reshape.systematic_sample(embeddings(spark, sf_dir).select("vec_id", "label"), "vec_id")
+
+
+# --- clusters and words --------------------------------------------------------------------------------------------------
+@register(_CENTRES + _step(1, "c0") + " SELECT vec_id, cid::INT AS cid, round(distance, 9) AS distance FROM a1")
+def kmeans_assign(spark, sf_dir):
+    out = cluster.assign(embeddings(spark, sf_dir), first_centroids(spark, sf_dir))
+    return out.select("vec_id", "cid", F.round("distance", 9).alias("distance"))
+
+
+def _centroid_rows(spark, centroids):
+    return spark.createDataFrame([(i, j, round(float(x), 8)) for i, c in enumerate(centroids) for j, x in enumerate(c)], "cid int, i int, value double")
+
+
+@register(_CENTRES + _step(1, "c0") + " SELECT cid::INT AS cid, (unnest(range(1, len(c) + 1)) - 1)::INT AS i, round(unnest(c), 8) AS value FROM c1")
+def kmeans_step(spark, sf_dir):
+    first = first_centroids(spark, sf_dir)
+    return _centroid_rows(spark, cluster.update(cluster.assign(embeddings(spark, sf_dir), first), first))
+
+
+@register(_CENTRES + _step(1, "c0") + f" SELECT round(sum(s), 8) AS shift FROM (SELECT {_SUM.format('list_transform(list_zip(c0.c, c1.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))')} AS s FROM c0 JOIN c1 ON c0.cid = c1.cid)")
+def kmeans_shift(spark, sf_dir):
+    first = first_centroids(spark, sf_dir)
+    return spark.createDataFrame([(round(cluster.shift(first, cluster.update(cluster.assign(embeddings(spark, sf_dir), first), first)), 8),)], "shift double")
+
+
+@register(_CENTRES + _step(1, "c0") + _step(2, "c1") + _step(3, "c2") + ", n AS (SELECT cid, count(*) AS n FROM a3 GROUP BY cid), k AS (SELECT row_number() OVER (ORDER BY cid) - 1 AS cid, c3.c FROM c3 JOIN n USING (cid) WHERE n > 50) SELECT cid::INT AS cid, (unnest(range(1, len(c) + 1)) - 1)::INT AS i, round(unnest(c), 8) AS value FROM k")
+def kmeans_train(spark, sf_dir):
+    return _centroid_rows(spark, cluster.train(embeddings(spark, sf_dir), first_centroids(spark, sf_dir), iterations=3, error=0.0)[0])
+
+
+@register(_CENTRES + _step(1, "c0") + " SELECT (row_number() OVER (ORDER BY cid) - 1)::INT AS cid, n FROM (SELECT cid, count(*) AS n FROM a1 GROUP BY cid) WHERE n > 50")
+def cluster_prune(spark, sf_dir):
+    _, sizes = cluster.train(embeddings(spark, sf_dir), first_centroids(spark, sf_dir), iterations=1)
+    return spark.createDataFrame(list(enumerate(sizes)), "cid int, n long")
+
+
+def _bags(spark, sf_dir):
+    return cluster.bags(embeddings(spark, sf_dir), first_centroids(spark, sf_dir), IMAGE())
+
+
+@register(_BAGS + " SELECT image AS image_id, (unnest(range(1, len(bow) + 1)) - 1)::INT AS i, round(unnest(bow), 9) AS value FROM bags")
+def bow_hist(spark, sf_dir):
+    return _bags(spark, sf_dir).select("image_id", F.posexplode("bow").alias("i", "value")).withColumn("value", F.round("value", 9))
+
+
+@register(_CENTRES + f", d AS (SELECT image, cid, {_D.format('e', 'c')} AS d FROM e CROSS JOIN c0), h AS (SELECT image, cid, sum(CASE WHEN d < 1.4 THEN 1 - d / 1.4 ELSE 0 END) AS w FROM d GROUP BY image, cid), t AS (SELECT image, sqrt(sum(w * w)) AS n FROM h GROUP BY image) SELECT image AS image_id, cid::INT AS i, round(w / n, 9) AS value FROM h JOIN t USING (image) WHERE n > 0")
+def bow_soft(spark, sf_dir):
+    out = cluster.bags(embeddings(spark, sf_dir), first_centroids(spark, sf_dir), IMAGE(), soft=1.4)
+    return out.select("image_id", F.posexplode("bow").alias("i", "value")).withColumn("value", F.round("value", 9))
+
+
+@register(_CENTRES + f" SELECT vec_id, cid::INT AS cid FROM e CROSS JOIN c0 WHERE {_D.format('e', 'c')} < 1.3")
+def clusters_in_radius(spark, sf_dir):
+    return cluster.within(embeddings(spark, sf_dir), first_centroids(spark, sf_dir), 1.3).select("vec_id", F.explode("cids").alias("cid"))
+
+
+_BEST = _BAGS + f", s AS (SELECT a.image AS source, b.image AS target, round({_D.format('a.bow', 'b.bow')}, 9) AS d, round({_DOT.format('a.bow', 'b.bow')}, 9) AS c FROM bags AS a JOIN bags AS b ON a.image < 25 AND b.image >= 25)"
+
+
+@register(_BEST + " SELECT source, round(max(c), 7) AS score FROM s GROUP BY source")
+def bow_rank_cosine(spark, sf_dir):
+    b = _bags(spark, sf_dir)
+    return cluster.best_image(b.where("image_id < 25"), b.where("image_id >= 25")).select("source", F.round("score", 7).alias("score"))
+
+
+@register(_BEST + " SELECT source, min_by(target, (d, target)) AS target, round(min(d), 7) AS score FROM s GROUP BY source")
+def bow_rank_l2(spark, sf_dir):
+    b = _bags(spark, sf_dir)
+    return cluster.best_image(b.where("image_id < 25"), b.where("image_id >= 25"), "l2").withColumn("score", F.round("score", 7))
+
+
+@register(_CENTRES + _step(1, "c0") + " SELECT cid::INT AS cid, (i - 1)::INT AS i, (j - 1)::INT AS j, round(covar_pop(e[i], e[j]), 9) AS value FROM a1, range(1, 9) AS r(i), range(1, 9) AS s(j) WHERE i <= j GROUP BY cid, i, j")
+def cluster_covariance(spark, sf_dir):
+    assigned = cluster.assign(embeddings(spark, sf_dir), first_centroids(spark, sf_dir))
+    return cluster.covariance(assigned, 8).withColumn("value", F.round("value", 9))
+
+
+# --- images and flow -----------------------------------------------------------------------------------------------------
+def _pixels(df):
+    return grid.pixels(df).select("frame_no", "y", "x", F.round("v", 6).alias("v"))
+
+
+_OUT = " SELECT f AS frame_no, y::INT AS y, x::INT AS x, round({0}, 6) AS v FROM "
+
+
+@register(_PX + _OUT.format("v") + f"({_correlate('px', 'v', _KX)})")
+def sobel_x(spark, sf_dir):
+    return _pixels(grid.per_frame(frames(spark), lambda a: grid.stencil(a, grid.SOBEL_X)))
+
+
+@register(_PX + _OUT.format("v") + f"({_correlate('px', 'v', _KY)})")
+def sobel_y(spark, sf_dir):
+    return _pixels(grid.per_frame(frames(spark), lambda a: grid.stencil(a, grid.SOBEL_Y)))
+
+
+@register(_PX + _OUT.format("v") + f"({_correlate('px', 'v', _GAUSS.format(5, 15))})")
+def gauss_blur(spark, sf_dir):
+    return _pixels(grid.per_frame(frames(spark), grid.blur))
+
+
+@register(_PX + f", b AS ({_correlate('px', 'v', _GAUSS.format(2.5, 8))}) SELECT b.f AS frame_no, b.y::INT AS y, b.x::INT AS x, round(b.v - px.v, 6) AS v FROM b JOIN px ON b.f = px.f AND b.y = px.y AND b.x = px.x")
+def dog(spark, sf_dir):
+    return _pixels(grid.per_frame(frames(spark), lambda a: grid.blur(a, 2.5) - a))
+
+
+@register(_PX + " SELECT f AS frame_no, y::INT AS y, x::INT AS x, v - lag(v) OVER (PARTITION BY y, x ORDER BY f) AS v FROM px QUALIFY f > 0")
+def frame_diff(spark, sf_dir):
+    paired = flow.pairs(frames(spark))
+    return _pixels(paired.withColumn("data", F.zip_with("data", "before", lambda a, b: a - b)))
+
+
+@register(_PX + ", c AS (SELECT a.f, abs(a.v / 255 - b.v / 255) AS d FROM px AS a JOIN px AS b ON b.f = a.f - 1 AND a.y = b.y AND a.x = b.x) SELECT f AS frame_no, count(*)::INT AS pixels, (count(*) FILTER (WHERE d > 0.005))::INT AS different, round(max(d), 9) AS largest FROM c GROUP BY f")
+def image_compare(spark, sf_dir):
+    unit = frames(spark).withColumn("data", F.transform("data", lambda v: v / 255))
+    later = unit.withColumn("frame_no", F.col("frame_no") + 1)
+    return grid.compare(unit, later).select("frame_no", "pixels", "different", F.round("largest", 9).alias("largest"))
+
+
+def _vectors(df):
+    return flow.vectors(df).select("frame_no", "y", "x", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
+
+
+_UV = " SELECT frame_no, y::INT AS y, x::INT AS x, round(u, 6) AS u, round(v, 6) AS v FROM "
+
+
+@register(_FLOW + _UV + "uv")
+def lk_flow(spark, sf_dir):
+    return _vectors(flow.flow(frames(spark)))
+
+
+def _smooth(spark):
+    return flow.smooth(flow.flow(frames(spark)), "video_id", ["frame_no"], ["u", "v"])
+
+
+@register(_EMA + _UV + "sm")
+def flow_ema(spark, sf_dir):
+    return _vectors(_smooth(spark))
+
+
+@register(_POOL + " SELECT frame_no, i::INT AS i, j::INT AS j, round(u, 6) AS u, round(v, 6) AS v FROM kept")
+def flow_pool(spark, sf_dir):
+    return flow.pool(_smooth(spark)).select("frame_no", "i", "j", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
+
+
+@register(_POOL + " SELECT frame_no, round(avg(u) * 100, 4) AS u, round(avg(v) * 100, 4) AS v FROM kept GROUP BY frame_no")
+def flow_heading(spark, sf_dir):
+    return flow.heading(flow.pool(_smooth(spark))).select("frame_no", F.round("u", 4).alias("u"), F.round("v", 4).alias("v"))
+
+
+@register()
+def resize_bilinear(spark, sf_dir):
+    return _pixels(grid.per_frame(frames(spark), lambda a: grid.resize(a, 10, 12)))
+
+
+@register()
+def resize_lanczos(spark, sf_dir):
+    return _pixels(grid.per_frame(frames(spark), lambda a: grid.resize(a, 5, 6, 3)))
+
+
+# --- ordered series and names --------------------------------------------------------------------------------------------
+@register("SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events")
+def event_lag(spark, sf_dir):
+    from pyspark.sql import Window
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "value")
+    return events.select("event_id", (F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).alias("step"))
+
+
+@register("""WITH RECURSIVE o AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+s(event_id, user_id, r, ema) AS (SELECT event_id, user_id, r, 0.9 * 0.0 + (1 - 0.9::DOUBLE) * value FROM o WHERE r = 1 UNION ALL SELECT o.event_id, o.user_id, o.r, 0.9 * s.ema + (1 - 0.9::DOUBLE) * o.value FROM s JOIN o ON o.user_id = s.user_id AND o.r = s.r + 1)
+SELECT event_id, ema FROM s""")
+def event_ema(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "value")
+    return flow.smooth(events, "user_id", ["ts", "event_id"], ["value"]).select("event_id", F.col("value").alias("ema"))
+
+
+@register("SELECT (i // 5)::INT AS octave, (i % 5)::INT AS scale, format('scalespace_o{:03d}_s{:03d}.png', i // 5, i % 5) AS name FROM range(0, 5) AS r(i)")
+def scale_space_names(spark, sf_dir):
+    return readers.scale_space_names(spark, "scalespace", 1, 5)
+
+
+@register("SELECT i AS ord, 'reference-01 - ' || i || '.jpeg' AS name FROM range(1, 49) AS r(i)")
+def image_names(spark, sf_dir):
+    return readers.make_names(spark, "reference-01 - ", ".jpeg", 1, 48)
