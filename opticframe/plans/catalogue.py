@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import reshape, vec
+from ..functions import colour, geometry, reshape, vec
 from ..operators import cluster, flow, grid, match, nn
-from ..sources import readers
+from ..sources import readers, sinks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -405,3 +405,28 @@ def scale_space_names(spark, sf_dir):
 @register("SELECT i AS ord, 'reference-01 - ' || i || '.jpeg' AS name FROM range(1, 49) AS r(i)")
 def image_names(spark, sf_dir):
     return readers.make_names(spark, "reference-01 - ", ".jpeg", 1, 48)
+
+
+@register(_RATIO + """,
+best AS (SELECT *, coalesce(max(score) OVER (PARTITION BY source ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM scores),
+ranked AS (SELECT source, count(*) AS n, max(score) AS top FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY target DESC) AS rank FROM best WHERE score > b) WHERE rank <= 3 GROUP BY source)
+SELECT q.source, coalesce(n, 0)::INT AS n, round(top, 9) AS top FROM (SELECT DISTINCT image AS source FROM e WHERE image < 25) AS q LEFT JOIN ranked AS r ON r.source = q.source""")
+def image_match_lists(spark, sf_dir):
+    e, m = _matches(spark, sf_dir)
+    lists = sinks.nested_matches(e.where("image < 25").select(F.col("image").alias("source")).distinct(), match.records(match.image_scores(m, e, F.col("image"))))
+    return lists.select("source", F.size("matches").alias("n"), F.round(F.array_max(F.transform("matches", lambda x: x["score"])), 9).alias("top"))
+
+
+@register(f"WITH e AS ({_E}) SELECT vec_id, round(e[1] + cos(e[4]) * 1.5 * abs(e[3]), 9) AS ex, round(e[2] + sin(e[4]) * 1.5 * abs(e[3]), 9) AS ey, round(1.5 * abs(e[3]), 9) AS r, round(e[1] + 480, 9) AS x2 FROM e")
+def descriptor_geometry(spark, sf_dir):
+    v = vec.doubles("embedding")
+    d = embeddings(spark, sf_dir).select("vec_id", v[0].alias("x"), v[1].alias("y"), F.abs(v[2]).alias("sigma"), v[3].alias("theta"))
+    line = geometry.match_line(F.col("x"), F.col("y"), F.col("x"), F.col("y"), F.lit(480.0))
+    return geometry.descriptor_ray(d).select("vec_id", *[F.round(c, 9).alias(c) for c in ("ex", "ey", "r")], F.round(line["x2"], 9).alias("x2"))
+
+
+@register(_PX + ", u AS (SELECT f, y, x, v / 255 AS v FROM px) SELECT f AS frame_no, y::INT AS y, x::INT AS x, round(0.5 * v + 0.5, 9) AS half, round(1 - v, 9) AS inverse, round(CASE WHEN v <= 0.04045 THEN v / 12.92 ELSE pow((v + 0.055) / 1.055, 2.4) END, 9) AS linear, floor(v * 4 + 0.5) / 4 AS mapped FROM u")
+def colour_helpers(spark, sf_dir):
+    v = F.col("v") / 255
+    strip = [[i / 4] * 3 for i in range(5)]
+    return grid.pixels(frames(spark)).select("frame_no", "y", "x", F.round(colour.halved(v), 9).alias("half"), F.round(colour.inverted(v), 9).alias("inverse"), F.round(grid.to_linear(v), 9).alias("linear"), colour.mapped(v, strip)[0].alias("mapped"))

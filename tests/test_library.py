@@ -91,6 +91,24 @@ def test_text_readers(spark, tmp_path):
     assert readers.read_keypoints(spark, str(tmp_path / "d.txt"))[0].count() == 1
 
 
+def test_recall_of_all_and_of_half(spark):
+    points = spark.createDataFrame([(i, [float(i * i), 0.0]) for i in range(10)], TINY)
+    truth = nn.search(points, points)
+    row = nn.recall(truth.where("query_id < 5"), truth).first()
+    assert (row["total"], row["correct"], row["ratio"], row["mse"]) == (10, 5, 0.5, 0.0)
+    assert nn.recall(nn.lsh(points, length=50.0, threshold=1000.0), truth).first()["ratio"] == 1.0
+
+
+def test_match_lists_and_guard(spark):
+    from opticframe.sources import sinks
+
+    ranked = spark.createDataFrame([(1, 9, 0.5, 2), (1, 8, 0.7, 1)], "source long, target long, score double, rank int")
+    got = {r["source"]: [tuple(m) for m in r["matches"]] for r in sinks.nested_matches(spark.createDataFrame([(1,), (2,)], "source long"), ranked).collect()}
+    assert got == {1: [(8, 0.7), (9, 0.5)], 2: []}
+    with pytest.raises(ValueError):
+        sinks.require_rows(ranked.where("false"), "references")
+
+
 def test_resize_and_stencil():
     a = np.arange(12.0).reshape(3, 4)
     assert np.allclose(grid.resize(a, 3, 4), a) and np.allclose(grid.resize(np.full((8, 8), 5.0), 3, 2, 3), 5.0)
