@@ -10,7 +10,9 @@ by XOR and bit counts.  It returns for each class the least one it is joined to,
 no vantage point parts the rows, as with a radius near the spread of random distances, shards are tiled.
 
 ``ratio`` (0: none) links only texts whose shingle counts differ by no more than that factor; it deals the
-classes to bands of the count as well, each compared within itself and with the band below.
+classes to bands of the count as well, each compared within itself and with the band below.  A pair within
+the radius is then held against a sketch of its shingle sets (the least hash in each of SLOTS ranges, a byte
+of it), and is linked only if the share of equal slots does not speak against a Jaccard similarity of ratio.
 
 Defined results: null and empty texts have the fingerprint zero and link as any other; a shorter text than
 a shingle is one shingle; classes whose least doc_id is the same are one node; rows without doc_id have a
@@ -33,6 +35,10 @@ from .components import Forest, connected_components
 WORDS, RADIUS, SEED = 3, 2, 42
 #: Shingles that are hashed before their bits are summed.
 RUN = 1 << 14
+#: Slots of a sketch, standard deviations by which its estimate may fall short, pairs held against their sketches at once.
+SLOTS, DOUBT, PAIRS = 128, 2.5, 1 << 15
+#: A slot that no hash has reached.
+_NONE = np.uint64((1 << 64) - 1)
 #: Fingerprints the tree is built from, at most; classes of a shard to aim at; of a task, beyond which a shard is tiled; compared outright.
 SAMPLE, SHARD_ROWS, TILE_ROWS, OUTRIGHT = 16_384, 8192, 32_768, 512
 
@@ -61,26 +67,28 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, words: int = WORDS, blocks: int = 1) -> tuple[np.ndarray, int]:
-    """SimHash of a whole text, as so many blocks of 64 bits, and its number of shingles."""
-    ones, n = np.zeros((blocks, 64), np.int64), 0
+def fingerprint(text: str | None, words: int = WORDS, blocks: int = 1, slots: int = 0) -> tuple[np.ndarray, int, np.ndarray]:
+    """SimHash of a whole text, as so many blocks of 64 bits, its number of shingles, and a sketch of their set (0: an empty slot)."""
+    ones, n, least = np.zeros((blocks, 64), np.int64), 0, np.full(slots, _NONE)
     for h in shingle_hashes(text, words):
         n += len(h)
+        if slots:
+            np.minimum.at(least, h % np.uint64(slots), h // np.uint64(slots))
         for k in range(blocks):
             ones[k] += np.unpackbits(mixed(h, k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0], n
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0], n, np.where(least == _NONE, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8)
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, blocks: int = 1) -> DataFrame:
-    """(doc_id, fp binary: little-endian blocks of 64 bits, shingles) of every document."""
+def fingerprints(docs: DataFrame, words: int = WORDS, blocks: int = 1, slots: int = 0) -> DataFrame:
+    """(doc_id, fp binary: little-endian blocks of 64 bits, shingles, sketch) of every document."""
     bounded_batches(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(t, words, blocks) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64())], names=["doc_id", "fp", "shingles"])
+            fps, counts, sketches = zip(*[fingerprint(t, words, blocks, slots) for t in batch.column(1).to_pylist()]) if len(batch) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in fps], pa.binary()), pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in sketches], pa.binary())], names=["doc_id", "fp", "shingles", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, fp binary, shingles long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, fp binary, shingles long, sketch binary")
 
 
 def blocks_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -137,21 +145,27 @@ def split(x: np.ndarray, radius: int, tries: int = 6) -> tuple[np.ndarray, int]
     return best
 
 
-def join_near(x: np.ndarray, radius: int, shingles: np.ndarray | None = None, ratio: float = 0.0, home: np.ndarray | None = None) -> Forest:
-    """Joins all pairs of fingerprints within the radius and ratio; home: pairs of which neither is marked may be left out."""
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sketches of pairs leave a Jaccard similarity possible."""
+    used, same = ((a | b) != 0).sum(1), ((a == b) & (a != 0)).sum(1)
+    return same >= used * similarity - DOUBT * np.sqrt(used * similarity * (1 - similarity))
+
+
+def join_near(x: np.ndarray, radius: int, shingles: np.ndarray | None = None, ratio: float = 0.0, home: np.ndarray | None = None, sketch: np.ndarray | None = None) -> Forest:
+    """Joins all pairs of fingerprints within the radius and ratio (and with sketches alike); home: pairs of which neither is marked may be left out."""
     forest, todo = Forest(len(x)), [np.arange(len(x))]
     while todo:
         at = todo.pop()
         got = split(x[at], radius) if len(at) > OUTRIGHT else None
         if got is None:
-            _outright(forest, x, at, radius, shingles if ratio else None, ratio, home)
+            _outright(forest, x, at, radius, shingles if ratio else None, ratio, home, sketch)
             continue
         d = distance(x[at], got[0])
         todo += [at[d <= got[1]], at[d > got[1] - radius]]
     return forest
 
 
-def _outright(forest: Forest, x: np.ndarray, at: np.ndarray, radius: int, shingles: np.ndarray | None, ratio: float, home: np.ndarray | None) -> None:
+def _outright(forest: Forest, x: np.ndarray, at: np.ndarray, radius: int, shingles: np.ndarray | None, ratio: float, home: np.ndarray | None, sketch: np.ndarray | None) -> None:
     if shingles is not None:
         at = at[np.argsort(shingles[at], kind="stable")]
     for lo in range(0, len(at), OUTRIGHT):
@@ -170,12 +184,21 @@ def _outright(forest: Forest, x: np.ndarray, at: np.ndarray, radius: int, shingl
                 few, many = shingles[a[r]], shingles[b[c]]
                 close = np.minimum(few, many) >= ratio * np.maximum(few, many)
                 r, c = r[close], c[close]
-            forest.join(a[r], b[c])
+            if sketch is None:
+                forest.join(a[r], b[c])
+                continue
+            for k in range(0, len(r), PAIRS):
+                i, j = a[r[k : k + PAIRS]], b[c[k : k + PAIRS]]
+                apart = forest.label[i] != forest.label[j]
+                i, j = i[apart], j[apart]
+                both = alike(sketch[i], sketch[j], ratio)
+                forest.join(i[both], j[both])
 
 
 def near_edges(classes: DataFrame, radius: int, ratio: float = 0.0, shard_rows: int = SHARD_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(a, b) edges between the reps of classes (fp, rep, shingles) whose components are those of all pairs within the radius and ratio."""
+    """(a, b) edges between the reps of classes (fp, rep, shingles[, sketch]) whose components are those of all pairs within the radius and ratio, with sketches alike."""
     spark = classes.sparkSession
+    classes = classes.select("fp", "rep", "shingles", F.col("sketch") if "sketch" in classes.columns else F.unhex(F.lit("")).alias("sketch"))
     sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow()
     depth = max(0, int(np.ceil(np.log2(max(1, classes.count() / shard_rows)))))
     tree = VantageTree(blocks_of(sample.column("fp")), depth, radius)
@@ -183,9 +206,9 @@ def near_edges(classes: DataFrame, radius: int, ratio: float = 0.0, shard_rows:
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, leaf = tree.leaf_of(blocks_of(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(leaf)], names=["fp", "rep", "shingles", "leaf"])
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(leaf)], names=["fp", "rep", "shingles", "sketch", "leaf"])
 
-    shards = classes.select("fp", "rep", "shingles").mapInArrow(dealt, "fp binary, rep long, shingles long, leaf int")
+    shards = classes.mapInArrow(dealt, "fp binary, rep long, shingles long, sketch binary, leaf int")
     # a pair within the ratio is in one band or in two that follow each other: each row also visits the band above its own
     band = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1)).cast("double")) / F.lit(-float(np.log(ratio))) + F.lit(1e-9)).cast("int") if ratio else F.lit(0)
     visits = F.array(F.lit(0), F.lit(1)) if ratio else F.array(F.lit(0))
@@ -194,12 +217,13 @@ def near_edges(classes: DataFrame, radius: int, ratio: float = 0.0, shard_rows:
     sizes = shards.groupBy("leaf", "band").agg(F.count(F.lit(1)).alias("_n")).select("leaf", "band", F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("blocks"))
     tiled = shards.join(F.broadcast(sizes), ["leaf", "band"])  # sizes: a row for each leaf of the tree and each of the few bands of the count's logarithm
     tiled = tiled.withColumn("block", F.pmod(F.xxhash64("fp", "shingles"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("leaf", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "rep", "shingles", "home")
+    tiled = tiled.select("leaf", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "rep", "shingles", "sketch", "home")
 
     def joined(shard: pa.Table) -> pa.Table:
         shard = shard.take(pa.array(np.argsort(shard.column("rep").to_numpy(), kind="stable")))
         rep, count = shard.column("rep").to_numpy(), shard.column("shingles").to_numpy()
-        hub = rep[join_near(blocks_of(shard.column("fp")), radius, count, ratio, shard.column("home").to_numpy()).label]
+        sketch = np.frombuffer(b"".join(shard.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+        hub = rep[join_near(blocks_of(shard.column("fp")), radius, count, ratio, shard.column("home").to_numpy(), sketch if sketch.shape[1] else None).label]
         apart = hub != rep
         return pa.table({"a": rep[apart], "b": hub[apart]})
 
@@ -209,9 +233,10 @@ def near_edges(classes: DataFrame, radius: int, ratio: float = 0.0, shard_rows:
 def link(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int = 1, ratio: float = 0.0) -> DataFrame:
     """(doc_id, fp, component_id) of every document: components of fingerprints within the radius (and ratio)."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.save(fingerprints(docs, words, blocks).withColumn("key", F.unhex(F.md5(F.concat("fp", F.col("shingles").cast("string").cast("binary"))) if ratio else F.md5("fp"))))
-    classes = rows.where(F.col("doc_id").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "fp", "shingles")).alias("least"))
-    classes = scratch.save(classes.select("key", "n", F.col("least.doc_id").alias("rep"), "least.fp", "least.shingles"))
+    key = F.concat("fp", "sketch", F.col("shingles").cast("string").cast("binary")) if ratio else F.col("fp")
+    rows = scratch.save(fingerprints(docs, words, blocks, SLOTS if ratio else 0).withColumn("key", F.unhex(F.md5(key))))
+    classes = rows.where(F.col("doc_id").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "fp", "shingles", "sketch")).alias("least"))
+    classes = scratch.save(classes.select("key", "n", F.col("least.doc_id").alias("rep"), "least.fp", "least.shingles", "least.sketch"))
     components = connected_components(near_edges(classes, radius, ratio), scratch)
     known = classes.join(components, F.col("rep") == F.col("node"), "left").select("key", "n", F.coalesce("component", "rep").alias("component_id"))
     found = attach(rows.select("doc_id", "fp", "key"), known, "key", "doc_id", "n", rows.count())
@@ -222,9 +247,11 @@ def distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: i
     """The documents, with all their columns, without those that resemble one with a smaller doc_id, directly or through others.
 
     Two texts resemble each other if the cosine that their fingerprints estimate, cos(pi * distance / bits),
-    and the ratio of their shingle counts are at least the similarity.  Rows without doc_id stay; rows of
-    one doc_id stay or go together.
+    and the ratio of their shingle counts are at least the similarity, and the Jaccard similarity that their
+    sketches estimate does not fall short of it by more than DOUBT standard deviations.  Rows without doc_id
+    stay; rows of one doc_id stay or go together.
     """
     radius = int(np.floor(np.arccos(similarity) / np.pi * 64 * blocks))
     gone = link(docs, words, radius, blocks, similarity).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(Scratch(docs.sparkSession, "copies").save(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = Scratch(docs.sparkSession, "copies").save(gone)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")  # docs may have a column of that name

@@ -352,6 +352,26 @@ def test_tiles_and_bands_lose_nothing(spark):
     assert (got.label == want.label).all() and len(set(want.label)) < 400
 
 
+def test_sketches_part_what_only_resembles(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows, close, apart = [], [], []
+    for k in range(0, 400, 4):
+        base = [word() for _ in range(rng.choice((60, 200, 900)))]
+        for i, share in enumerate((0.0, 0.01, 0.1)):  # of words changed: Jaccard similarity about 0.9 and 0.4
+            changed = [word() if share and j % int(1 / share) == 5 else w for j, w in enumerate(base)]
+            rows.append((k + i, " ".join(changed), "mine"))
+        close.append(k + 1)
+        apart.append(k + 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
+    kept = simhash.distinct(docs)
+    assert kept.columns == docs.columns
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert not ids & set(close) and set(apart) <= ids and len(ids) == 200
+    sketch = lambda t: simhash.fingerprint(t, 5, 4, simhash.SLOTS)[2]
+    assert not sketch("").any() and simhash.alike(sketch("")[None], sketch(None)[None], 0.8).all()
+
+
 def test_components(spark):
     from opticframe.llm.components import connected_components
 
