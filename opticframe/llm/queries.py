@@ -26,7 +26,7 @@ def op3_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), details=True)
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars"), details=True)  # other columns may have the names of the details
     return mixed.select("doc_id", "source", "n_chars", F.octet_length("text").alias("n_bytes"), F.col("_copy").alias("copy"), F.col("_copies").alias("copies"), F.round("_rate", 9).alias("rate"))
 
 
