@@ -36,7 +36,7 @@ WORDS, RADIUS, SEED = 3, 2, 42
 #: Shingles that are hashed before their bits are summed.
 RUN = 1 << 14
 #: Slots of a sketch, standard deviations by which its estimate may fall short, pairs held against their sketches at once.
-SLOTS, DOUBT, PAIRS = 128, 2.5, 1 << 15
+SLOTS, DOUBT, PAIRS = 1024, 2.5, 1 << 13
 #: A slot that no hash has reached.
 _NONE = np.uint64((1 << 64) - 1)
 #: Fingerprints the tree is built from, at most; classes of a shard to aim at; of a task, beyond which a shard is tiled; compared outright.
