@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colour, geometry, reshape, vec
-from ..operators import cluster, flow, grid, match, nn
+from ..operators import cluster, features, flow, grid, match, nn
 from ..sources import readers, sinks
 
 QUERIES: dict = {}
@@ -380,6 +380,39 @@ def resize_lanczos(spark, sf_dir):
     return _pixels(grid.per_frame(frames(spark), lambda a: grid.resize(a, 5, 6, 3)))
 
 
+# --- features of images --------------------------------------------------------------------------------------------------
+def scenes(spark):
+    """Six smooth frames."""
+    return grid.per_frame(readers.synthetic_frames(spark, 6, 16, 18), lambda a: grid.resize(a, 96, 108))
+
+
+@register()
+def dog_space(spark, sf_dir):
+    return features.differences(scenes(spark)).select("frame_no", "octave", "scale", "height", "width", F.round(F.array_max(F.transform("data", F.abs)), 6).alias("largest"))
+
+
+@register()
+def frame_keypoints(spark, sf_dir):
+    return features.keypoints(scenes(spark)).select("frame_no", "octave", "scale", *[F.round(c, 6).alias(c) for c in ("sub_scale", "y", "x", "sigma", "value")])
+
+
+def _described(spark):
+    found = features.descriptors(scenes(spark))
+    return found.select((F.shiftleft("frame_no", 32) + F.col("number")).alias("vec_id"), F.col("frame_no").alias("image"), "y", "x", "sigma", "theta", F.col("features").cast("array<double>").alias("embedding"))
+
+
+@register()
+def frame_descriptors(spark, sf_dir):
+    return _described(spark).select("image", *[F.round(c, 6).alias(c) for c in ("y", "x", "sigma", "theta")], "embedding")
+
+
+@register()
+def frame_rank_records(spark, sf_dir):
+    d = _described(spark)
+    m = match.ratio_match(d.where("image < 3"), d.where("image >= 3"), absolute=300.0, relative=0.8, group="image")
+    return match.records(match.image_scores(m, d, F.col("image"))).select("source", "target", F.round("score", 9).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 # --- ordered series and names --------------------------------------------------------------------------------------------
 @register("SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events")
 def event_lag(spark, sf_dir):
