@@ -214,6 +214,33 @@ def test_sharding(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+@pytest.mark.parametrize("copies", [0, 850, 3000])
+def test_sharding_with_blocks_and_a_large_group(spark, monkeypatch, copies):
+    monkeypatch.setattr(sharding, "BLOCK_GROUPS", 400)
+    rng = random.Random(21)
+    rows = [(i, "x" * rng.randint(20, 300) + str(i)) for i in range(3000)] + [(5000 + i, "y" * 100) for i in range(copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.shard(docs, shards=6).collect()
+    assert len(out) == len(rows)
+    mine = {r["shard"] for r in out if r["doc_id"] >= 5000}
+    sums = [sum(r["size"] for r in out if r["shard"] == s) for s in range(6)]
+    fair = sum(sums) / 6
+    assert len(mine) == (copies > 0)
+    if copies * 108 > fair:  # alone, and the others even
+        assert sums.pop(mine.pop()) == copies * 108
+    assert max(sums) - min(sums) <= 0.001 * fair
+
+
+def test_runs_make_up_for_a_large_size():
+    rng = np.random.default_rng(22)
+    sizes = rng.integers(1, 1000, 3000)
+    sizes = np.r_[sizes, int(sizes.sum() / 7)]
+    part, sums = sharding.partition(sizes, 7, run=500)
+    assert sorted(np.bincount(part, sizes, 7)) == sorted(sums) and sums.max() - sums.min() <= 2
+    _, more = sharding.partition(sizes, 7, base=np.array([1_000_000, 0, 0, 0, 0, 0, 0]))
+    assert more[0] == 1_000_000 and more[1:].max() - more[1:].min() <= 2
+
+
 def test_pack_counts():
     rng = random.Random(6)
     for _ in range(30):
