@@ -9,8 +9,9 @@ splitting by vantage points from its own midst, in memory, with the same bound,
 by XOR and bit counts.  It returns for each class the least one it is joined to, never its pairs.  Where
 no vantage point parts the rows, as with a radius near the spread of random distances, shards are tiled.
 
-``ratio`` (0: none) links only texts whose shingle counts differ by no more than that factor; it deals the
-classes to bands of the count as well, each compared within itself and with the band below.  A pair within
+``ratio`` (0: none) links only texts whose numbers of distinct shingles differ by no more than that factor, as
+they do where the Jaccard similarity is ratio or more; it deals the classes to bands of the number as well,
+each compared within itself and with the band below.  A pair within
 the radius is then held against a sketch of its shingle sets (the least hash in each of SLOTS ranges, a byte
 of it), and is linked only if the share of equal slots does not speak against a Jaccard similarity of ratio.
 
@@ -68,15 +69,19 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, words: int = WORDS, blocks: int = 1, slots: int = 0) -> tuple[np.ndarray, int, np.ndarray]:
-    """SimHash of a whole text, as so many blocks of 64 bits, its number of shingles, and a sketch of their set (0: an empty slot)."""
-    ones, n, least = np.zeros((blocks, 64), np.int64), 0, np.full(slots, _NONE)
+    """SimHash of a whole text, as so many blocks of 64 bits, its number of shingles (with a sketch, of distinct ones), and a sketch of their set (0: an empty slot)."""
+    ones, n, least, kinds = np.zeros((blocks, 64), np.int64), 0, np.full(slots, _NONE), []
     for h in shingle_hashes(text, words):
         n += len(h)
         if slots:
             np.minimum.at(least, h % np.uint64(slots), h // np.uint64(slots))
+            kinds.append(np.unique(h))
         for k in range(blocks):
             ones[k] += np.unpackbits(mixed(h, k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0], n, np.where(least == _NONE, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    fp = np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
+    if slots:
+        n = len(np.unique(np.concatenate(kinds))) if kinds else 0
+    return fp, n, np.where(least == _NONE, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8)
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, blocks: int = 1, slots: int = 0) -> DataFrame:
@@ -247,7 +252,7 @@ def distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: i
     """The documents, with all their columns, without those that resemble one with a smaller doc_id, directly or through others.
 
     Two texts resemble each other if the cosine that their fingerprints estimate, cos(pi * distance / bits),
-    and the ratio of their shingle counts are at least the similarity, and the Jaccard similarity that their
+    and the ratio of their numbers of distinct shingles are at least the similarity, and the Jaccard similarity that their
     sketches estimate does not fall short of it by more than DOUBT standard deviations.  Rows without doc_id
     stay; rows of one doc_id stay or go together.
     """

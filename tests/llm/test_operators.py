@@ -399,6 +399,16 @@ def test_sketches_part_what_only_resembles(spark):
     assert not sketch("").any() and simhash.alike(sketch("")[None], sketch(None)[None], 0.8).all()
 
 
+def test_repeated_passages_are_near_copies(spark):
+    rng = random.Random(23)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(20_000)]
+    text, long = " ".join(words[:204]), " ".join(words)  # the long one has more shingles than a run
+    rows = [(1, text), (2, text + " " + text), (3, text + 3 * (" " + " ".join(words[180:204]))), (4, " ".join(words[300:708])), (5, long), (6, long + " " + long)]
+    kept = simhash.distinct(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 4, 5]
+    assert simhash.fingerprint(rows[5][1], 5, 4, 16)[1] == simhash.fingerprint(long, 5, 4, 16)[1] + 4 == 20_000
+
+
 def test_components(spark):
     from opticframe.llm.components import connected_components
 
