@@ -9,8 +9,8 @@ index), scores what it finds in double precision on the original vectors and mer
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components are neither
 indexed nor searched for; vectors of another length than the most common one raise an error; a query's
-candidates are all rows with another id; ties go to the smaller id; rows without id take no part; an
-empty table gives no rows.
+candidates are all other ids, each once however many rows it has, at the best score of any of its rows and
+the query's; ties go to the smaller id; rows without id take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -157,11 +157,13 @@ class Graph:
 
 
 def _points(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unique vectors, and the ids of each in ascending order: (first rows, ids by vector, begins, counts)."""
+    """Unique vectors, and the distinct ids of each in ascending order: (first rows, ids by vector, begins, counts)."""
     kinds = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
     _, first, which = np.unique(kinds, return_index=True, return_inverse=True)
     order = np.lexsort((ids, which))
-    count = np.bincount(which, minlength=len(first))
+    again = (np.diff(which[order]) == 0) & (np.diff(ids[order]) == 0)
+    order = order[np.r_[np.full(min(1, len(order)), True), ~again]]
+    count = np.bincount(which[order], minlength=len(first))
     return first, ids[order], np.cumsum(count) - count, count
 
 
@@ -195,6 +197,18 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q * x).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)))
 
 
+def best(qid: np.ndarray, vid: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best hits of each query, nearest first; of hits of one id the best."""
+    order = np.lexsort((-score, vid, qid))
+    qid, vid, score = qid[order], vid[order], score[order]
+    once = np.r_[True, (np.diff(qid) != 0) | (np.diff(vid) != 0)][: len(qid)]
+    qid, vid, score = qid[once], vid[once], score[once]
+    order = np.lexsort((vid, -score, qid))
+    qid, vid, score = qid[order], vid[order], score[order]
+    top = np.arange(len(qid)) - np.searchsorted(qid, qid) < k
+    return qid[top], vid[top], score[top]
+
+
 def search(queries: DataFrame, built: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", beam: int = BEAM, degree: int = DEGREE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, its own id apart."""
     spark = queries.sparkSession
@@ -229,14 +243,17 @@ def search(queries: DataFrame, built: DataFrame, k: int = 5, id_col: str = "vec_
                 there &= member != mine[:, None]
                 r, c = np.nonzero(there)
                 out.append((mine[r], member[r, c], score[r, c]))
-        qid, vid, s = (np.concatenate([o[j] for o in out]) for j in range(3))
-        order = np.lexsort((vid, -s, qid))
-        qid, vid, s = qid[order], vid[order], s[order]
-        fresh = np.r_[True, qid[1:] != qid[:-1]]
-        rank = np.arange(len(qid)) - np.maximum.accumulate(np.where(fresh, np.arange(len(qid)), 0))
-        again = np.r_[False, (qid[1:] == qid[:-1]) & (vid[1:] == vid[:-1])]
-        best = (rank < k) & ~again
-        return pa.table({"query_id": qid[best], "vec_id": vid[best], "score": s[best]}, schema=schema)
+        qid, vid, s = best(*(np.concatenate([o[j] for o in out]) for j in range(3)), k)
+        # one id's many vectors can fill the places: who found fewer ids than there are looks at all vectors
+        asking, kinds = np.unique(own), np.unique(ids)
+        few = np.bincount(np.searchsorted(asking, qid), minlength=len(asking)) < np.minimum(k, len(kinds) - np.isin(asking, kinds))
+        if few.any():
+            point, out = np.repeat(np.arange(len(x)), np.diff(begins)), [(qid, vid, s)]
+            for j in np.nonzero(few[np.searchsorted(asking, own)])[0]:
+                score, other = cosines(q[j : j + 1], x)[point], ids != own[j]
+                out.append(best(np.full(int(other.sum()), own[j]), ids[other], score[other], k))
+            qid, vid, s = best(*(np.concatenate([o[j] for o in out]) for j in range(3)), k)
+        return pa.table({"query_id": qid, "vec_id": vid, "score": s}, schema=schema)
 
     n = max(1, len(shards) * groups)
     found = each.repartition(n, "shard", "_group").groupBy("shard", "_group").cogroup(parts.repartition(n, "shard", "_group").groupBy("shard", "_group")).applyInArrow(find, "query_id long, vec_id long, score double")

@@ -120,6 +120,35 @@ def test_graph_search(vectors):
     assert graph_ann.search(vectors, graph_ann.index(vectors.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [1000, 60])
+def test_graph_search_with_repeated_rows(spark, shard_rows):
+    rng = np.random.default_rng(24)
+    x = rng.normal(size=(300, 16))
+    near = lambda i, by: (x[i] + rng.normal(scale=by, size=16)).tolist()
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(0, rows[0][1])] * 7 + [(1, rows[1][1])]  # repeated queries, also candidates
+    rows += [(400, near(2, 0.01))] * 9  # a near row, repeated
+    rows += [(i, rows[3][1]) for i in (500, 501, 502) for _ in range(8)]  # equal vectors, their ids repeated
+    rows += [(600, near(4, 0.01)) for _ in range(90)] + [(5, near(5, 0.01)) for _ in range(90)]  # one id with many vectors
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = graph_ann.search(vectors.where("vec_id < 6"), graph_ann.index(vectors, shard_rows=shard_rows)).collect()
+    ids, all_x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    hit = 0
+    for q in range(6):
+        score = {}
+        for v in all_x[ids == q]:
+            for i, s in zip(ids.tolist(), graph_ann.cosines(v[None], all_x)):
+                score[i] = max(s, score.get(i, -2))
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [m[0] for m in mine] == [1, 2, 3, 4, 5] and len({m[1] for m in mine}) == 5 and q not in [m[1] for m in mine]
+        assert all(abs(s - score[i]) < 1e-12 for _, i, s in mine)
+        hit += len({m[1] for m in mine} & set(sorted(score.keys() - {q}, key=lambda i: (-score[i], i))[:5]))
+    assert hit >= 29
+    assert {r["vec_id"] for r in got if r["query_id"] == 3} >= {500, 501, 502}
+    few = spark.createDataFrame([(1, [1.0, 0.0])] * 20 + [(2, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in graph_ann.search(few, graph_ann.index(few)).collect()) == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 2), (3, 2, 1)]
+
+
 def test_embedding_links(vectors):
     rows = _valid(vectors)
     ids = sorted(i for i in rows if rows[i][1] is not None)
