@@ -78,8 +78,15 @@ def within(df: DataFrame, words: list[list[float]], radius: float = 0.1, vector:
     return df.withColumn("cids", F.transform(F.filter(near, lambda s: s["d"] < radius), lambda s: s["cid"]))
 
 
-def covariance(assigned: DataFrame, dims: int, vector: str = "embedding") -> DataFrame:
-    """(cid, i, j, value): population covariance of the first dims components in each cluster, i <= j."""
+def covariance(assigned: DataFrame, dims: int | None = None, vector: str = "embedding") -> DataFrame:
+    """(cid, i, j, value): population covariance of all components (or the first dims) in each cluster, i <= j."""
+    if dims is None:
+        # a row for each pair of components: that many columns of one aggregate do not compile
+        pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"), F.get("_v", i).alias("a"), F.get("_v", j).alias("b"))
+        upto = lambda lo: F.filter(F.sequence(lo, F.size("_v") - 1), lambda j: j >= lo)
+        rows = assigned.select("cid", vec.doubles(vector).alias("_v")).where(F.size("_v") > 0)
+        pairs = rows.select("cid", F.explode(F.flatten(F.transform(upto(F.lit(0)), lambda i: F.transform(upto(i), lambda j: pair(i, j))))).alias("s"))
+        return pairs.groupBy("cid", "s.i", "s.j").agg(F.covar_pop("s.a", "s.b").alias("value"))
     at = lambda i: F.element_at(vec.doubles(vector), i + 1)
     pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
     wide = assigned.groupBy("cid").agg(*[F.covar_pop(at(i), at(j)).alias(f"c{i}_{j}") for i, j in pairs])

@@ -298,6 +298,12 @@ def cluster_covariance(spark, sf_dir):
     return cluster.covariance(assigned, 8).withColumn("value", F.round("value", 9))
 
 
+@register()
+def cluster_covariance_all(spark, sf_dir):
+    assigned = cluster.assign(embeddings(spark, sf_dir), first_centroids(spark, sf_dir))
+    return cluster.covariance(assigned).withColumn("value", F.round("value", 9))
+
+
 # --- images and flow -----------------------------------------------------------------------------------------------------
 def _pixels(df):
     return grid.pixels(df).select("frame_no", "y", "x", F.round("v", 6).alias("v"))

@@ -29,6 +29,18 @@ def test_query_equals_sql(spark, name):
     assert got.equals(want)
 
 
+def test_covariance_of_all_components(spark):
+    if not Path(DATA).exists():
+        pytest.skip("no test data")
+    rows = cluster.assign(catalogue.embeddings(spark, DATA), catalogue.first_centroids(spark, DATA)).collect()
+    got = {(r["cid"], r["i"], r["j"]): r["value"] for r in catalogue.QUERIES["cluster_covariance_all"](spark, DATA).collect()}
+    cids = {r["cid"] for r in rows}
+    assert len(got) == len(cids) * 64 * 65 // 2
+    for c in cids:
+        want = np.cov(np.array([r["embedding"] for r in rows if r["cid"] == c], float).T, bias=True)
+        assert all(abs(got[c, i, j] - want[i, j]) < 1e-8 for i in range(64) for j in range(i, 64))
+
+
 POINTS = [(0, [1.0, 1.0]), (1, [10.0, 10.0]), (2, [20.0, 20.0]), (3, [30.0, 30.0])]
 
 
