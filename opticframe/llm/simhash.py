@@ -14,6 +14,7 @@ they do where the Jaccard similarity is ratio or more; it deals the classes to b
 each compared within itself and with the band below.  A pair within
 the radius is then held against a sketch of its shingle sets (the least hash in each of SLOTS ranges, a byte
 of it), and is linked only if the share of equal slots does not speak against a Jaccard similarity of ratio.
+The sketch is nearly exact for texts of fewer shingles than slots, as each slot then holds but one of them.
 
 Defined results: null and empty texts have the fingerprint zero and link as any other; a shorter text than
 a shingle is one shingle; classes whose least doc_id is the same are one node; rows without doc_id have a
@@ -38,6 +39,8 @@ WORDS, RADIUS, SEED = 3, 2, 42
 RUN = 1 << 14
 #: Slots of a sketch, standard deviations by which its estimate may fall short, pairs held against their sketches at once.
 SLOTS, DOUBT, PAIRS = 1024, 2.5, 1 << 13
+#: Standard deviations by which `distinct`'s radius stays below the distance of random fingerprints.
+FAR = 6.5
 #: A slot that no hash has reached.
 _NONE = np.uint64((1 << 64) - 1)
 #: Fingerprints the tree is built from, at most; classes of a shard to aim at; of a task, beyond which a shard is tiled; compared outright.
@@ -150,10 +153,14 @@ def split(x: np.ndarray, radius: int, tries: int = 6) -> tuple[np.ndarray, int]
     return best
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the sketches of pairs leave a Jaccard similarity possible."""
+def alike(a: np.ndarray, b: np.ndarray, similarity: float, shingles: np.ndarray | None = None) -> np.ndarray:
+    """Whether the sketches of pairs leave a Jaccard similarity possible; shingles: sums of the two numbers of distinct ones."""
     used, same = ((a | b) != 0).sum(1), ((a == b) & (a != 0)).sum(1)
-    return same >= used * similarity - DOUBT * np.sqrt(used * similarity * (1 - similarity))
+    hidden = 1.0
+    if shingles is not None:  # the used slots are drawn from the union without putting back: none is hidden, and there is no doubt, if it has no more members
+        union = shingles / (1 + similarity)
+        hidden = np.clip((union - used) / np.maximum(union - 1, 1), 0, 1)
+    return same >= used * similarity - DOUBT * np.sqrt(used * similarity * (1 - similarity) * hidden) - 1e-9
 
 
 def join_near(x: np.ndarray, radius: int, shingles: np.ndarray | None = None, ratio: float = 0.0, home: np.ndarray | None = None, sketch: np.ndarray | None = None) -> Forest:
@@ -196,7 +203,7 @@ def _outright(forest: Forest, x: np.ndarray, at: np.ndarray, radius: int, shingl
                 i, j = a[r[k : k + PAIRS]], b[c[k : k + PAIRS]]
                 apart = forest.label[i] != forest.label[j]
                 i, j = i[apart], j[apart]
-                both = alike(sketch[i], sketch[j], ratio)
+                both = alike(sketch[i], sketch[j], ratio, None if shingles is None else shingles[i] + shingles[j])
                 forest.join(i[both], j[both])
 
 
@@ -251,12 +258,14 @@ def link(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int
 def distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 4) -> DataFrame:
     """The documents, with all their columns, without those that resemble one with a smaller doc_id, directly or through others.
 
-    Two texts resemble each other if the cosine that their fingerprints estimate, cos(pi * distance / bits),
-    and the ratio of their numbers of distinct shingles are at least the similarity, and the Jaccard similarity that their
-    sketches estimate does not fall short of it by more than DOUBT standard deviations.  Rows without doc_id
-    stay; rows of one doc_id stay or go together.
+    Two texts resemble each other if the ratio of their numbers of distinct shingles is at least the similarity,
+    and the Jaccard similarity that their sketches estimate does not fall short of it by more than DOUBT standard
+    deviations.  The fingerprints only choose the pairs whose sketches are held against each other: their radius is
+    not that of the similarity, about which close copies scatter, but as wide as random pairs allow.  Rows without
+    doc_id stay; rows of one doc_id stay or go together.
     """
-    radius = int(np.floor(np.arccos(similarity) / np.pi * 64 * blocks))
+    bits = 64 * blocks
+    radius = int(max(np.floor(np.arccos(similarity) / np.pi * bits), np.floor(bits / 2 - FAR * np.sqrt(bits) / 2)))
     gone = link(docs, words, radius, blocks, similarity).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
     gone = Scratch(docs.sparkSession, "copies").save(gone)
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")  # docs may have a column of that name

@@ -438,6 +438,18 @@ def test_repeated_passages_are_near_copies(spark):
     assert simhash.fingerprint(rows[5][1], 5, 4, 16)[1] == simhash.fingerprint(long, 5, 4, 16)[1] + 4 == 20_000
 
 
+def test_short_near_copies(spark):
+    rng = random.Random(25)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    rows = []
+    for k in range(0, 1200, 4):
+        text = " ".join(word() for _ in range(8))
+        rows += [(k, text), (k + 1, text + " " + word()), (k + 2, " ".join(word() for _ in range(2)) + " " + text)]  # 4 shingles, 5 and 6: similarities 0.8, 0.67, 0.57
+    kept = {r["doc_id"] for r in simhash.distinct(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not kept & set(range(1, 1200, 4)) and set(range(0, 1200, 4)) <= kept
+    assert len(kept & set(range(2, 1200, 4))) >= 285  # but for slots that hold two shingles
+
+
 def test_components(spark):
     from opticframe.llm.components import connected_components
 
