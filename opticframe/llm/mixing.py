@@ -6,8 +6,8 @@ hashed from the seed and the document, so a run that is repeated, or a task that
 copies.  Documents are exploded by their count and dealt out by a hash of (seed, document, copy), which
 also orders each part: a global shuffle.  DataFrame functions only.
 
-Defined results: rows with a null source are one source of their own; a null or repeated doc_id is told
-apart by the text's hash only, so equal rows get equal counts; a source without a weight gets the rate 0
+Defined results: rows with a null source are one source of their own; rows without doc_id, and those of a doc_id
+that has several texts, are told apart by the text's hash, so that only equal rows get equal counts; a source without a weight gets the rate 0
 where weights are given; a weight for a source without rows goes to the others in proportion; an empty
 table gives no rows.
 """
@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, attach
+
 #: A source's distribution function is tabled over so many standard deviations around its mean: beyond, a double's uniform number does not reach.
 DEVIATIONS = 9
 #: Sources up to which their tables are broadcast; more are joined by a shuffle.
@@ -60,6 +62,19 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, tempe
     return {s: wanted[s] / whole * size / n if whole > 0 else 0.0 for s, n in rows.items()}
 
 
+def told_apart(drawn: DataFrame) -> DataFrame:
+    """Rows (_id, _h: the text's hash) with _t: that hash where _id is null or has rows of other texts, else null."""
+    key = F.when(F.col("_id").isNull(), F.xxhash64("_h", F.lit(3))).otherwise(F.xxhash64("_id"))
+    drawn = drawn.withColumn("_doc_key", key)
+    ids = drawn.where(F.col("_id").isNotNull()).groupBy("_doc_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
+    repeated = Scratch(drawn.sparkSession, "mixing").save(ids.where("_n > 1").select("_doc_key", "_n", (F.col("_lo") != F.col("_hi")).alias("_several")))
+    if not repeated.where("_several").isEmpty():  # those of one text are there for attach to know what is heavy
+        drawn = attach(drawn, repeated, "_doc_key", "_h", "_n", drawn.count())
+    else:
+        drawn = drawn.withColumn("_several", F.lit(False))
+    return drawn.withColumn("_t", F.when(F.col("_id").isNull() | F.coalesce("_several", F.lit(False)), F.col("_h"))).drop("_h", "_doc_key", "_several")
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = 0, temperature: float = 0.5, total: float | None = None, details: bool = False) -> DataFrame:
     """The mixture: the documents' rows as often as drawn, in global random order; with details also _copy, _copies, _rate and _shuffle_key."""
     spark = docs.sparkSession
@@ -67,8 +82,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: i
     tables = spark.createDataFrame([(s, r, *poisson_table(r)) for s, r in known.items()], "_source string, _rate double, _least int, _table array<double>")
     tables = F.broadcast(tables) if len(known) <= BROADCAST_SOURCES else tables
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    drawn = docs.select(F.struct(*cols).alias("_doc"), F.col("source").cast("string").alias("_s"), F.col("doc_id").cast("string").alias("_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("_t"))
-    drawn = drawn.join(tables, F.col("_s").eqNullSafe(F.col("_source"))).withColumn("_u", uniform(seed, "_id", "_t"))
+    drawn = docs.select(F.struct(*cols).alias("_doc"), F.col("source").cast("string").alias("_s"), F.col("doc_id").cast("string").alias("_id"), F.xxhash64("text").alias("_h"))
+    drawn = told_apart(drawn).join(tables, F.col("_s").eqNullSafe(F.col("_source"))).withColumn("_u", uniform(seed, "_id", "_t"))
     drawn = drawn.withColumn("_copies", F.col("_least") + F.size(F.filter("_table", lambda x: x <= F.col("_u"))))
     copies = drawn.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     copies = copies.withColumn("_shuffle_key", F.xxhash64(F.lit(seed), "_id", "_t", "_copy"))

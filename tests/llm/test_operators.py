@@ -201,6 +201,19 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(none).count() == 0
 
 
+def test_mixing_tells_rows_of_one_doc_id_apart(spark):
+    rows = [(i, f"text {i}", "s") for i in range(600)] + [(7000, f"other {i}", "s") for i in range(1500)] + [(8000, "same", "s")] * 400 + [(None, f"none {i}", "s") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs, details=True, total=2800).collect()
+    counts = {}
+    for r in out:
+        counts[r["doc_id"], r["text"]] = max(counts.get((r["doc_id"], r["text"]), 0), r["_copies"])
+    assert len({counts.get((7000, f"other {i}"), 0) for i in range(1500)}) >= 4 and len({r["_shuffle_key"] for r in out if r["doc_id"] == 7000}) > 1000
+    assert abs(sum(r["doc_id"] == 7000 for r in out) - 1500) < 200
+    alone = {r["doc_id"]: r["_copies"] for r in mixing.mix(docs.where("doc_id < 600"), details=True, total=600).collect()}
+    assert all(counts.get((i, f"text {i}"), 0) == alone.get(i, 0) for i in range(600))
+
+
 def test_unigram_counts(docs, none):
     scores = unigram.zipf_scores(vocabulary("piece_bpe_32k.model"))
 
