@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import re
 import string
 from collections.abc import Iterable
 
@@ -16,7 +15,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE_WORDS, CACHE_CHARS = 400_000, 40
 #: ASCII signs that form one pre-token when they follow letters; the apostrophe can begin one of its own.
 SIGNS = string.punctuation.replace("'", "")
-LATIN = re.compile("[\0-\u024f]*").fullmatch
+#: Letters are looked for below this place.
+LATIN = 0x250
 _ENCODERS: dict[str, "TextEncoder"] = {}
 
 
@@ -32,8 +32,10 @@ class TextEncoder:
     Only for vocabularies that drop white space before their merges and mark word ends, as
     ``word_bpe_49k.json`` does: there no merge, no normalisation and no special token reaches over a
     blank, so that the ids of a text are those of its blank-separated parts, one after the other.  A part
-    of letters and then signs is two pre-tokens; new letter runs are encoded many at a time, and parted
-    where a token ends a word.
+    of ``letters`` and then signs is two pre-tokens; new letter runs are encoded many at a time, and parted
+    where a token ends a word.  ``letters`` are those of which the file's own normaliser and pre-tokeniser
+    say so: a run of them, with a sign behind it, must give the run and the sign.  A capital I with a dot
+    above is none, as its lower case ends in a mark, which goes with the signs.
     """
 
     END = "</w>"
@@ -45,13 +47,20 @@ class TextEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(self.END)]] = True
+        self.letters = frozenset(c for c in map(chr, range(LATIN)) if c.isalpha() and self._is_letter(c))
         self.cache: dict[str, bytes] = {"": b""}
 
+    def _is_letter(self, c: str) -> bool:
+        """Whether the letter, alone or in a run, is one pre-token of its own, whatever sign follows."""
+        normal, parts = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        one = parts(normal(c))
+        return len(one) == 1 and all([p[0] for p in parts(normal(f"a{c}{c}a{c}{s}"))] == [f"a{one[0][0] * 2}a{one[0][0]}", s] for s in SIGNS)
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _stems(self, stems: list[str]) -> dict[str, bytes]:
-        """Ids of runs of Latin letters, each one pre-token."""
+        """Ids of runs of letters, each one pre-token."""
         out: dict[str, bytes] = {}
         for lo in range(0, len(stems), 4096):
             some = stems[lo : lo + 4096]
@@ -66,10 +75,10 @@ class TextEncoder:
 
     def _learn(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of words."""
-        split, heads, tails, whole = [], [], [], []
+        split, heads, tails, whole, letters = [], [], [], [], self.letters
         for w in words:
             stem = w.rstrip(SIGNS)
-            if stem.isalpha() and (stem.isascii() or LATIN(stem)):
+            if stem and letters.issuperset(stem):
                 split.append(w)
                 heads.append(stem.lower() if stem.isascii() else stem)
                 tails.append(w[len(stem) :])

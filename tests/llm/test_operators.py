@@ -1,5 +1,6 @@
 import itertools
 import random
+import string
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ def docs(spark):
     text = lambda n: " ".join(rng.choice(words) for _ in range(n)) + ".\n"
     rows = [(i, text(rng.randint(1, 400)), "en", f"s{i % 3}") for i in range(120)]
     rows += [(200, None, None, None), (201, "", "en", "s0"), (202, "   \n\t ", "en", "s1"), (203, text(20_000), "en", "s1"), (None, "no id here", None, "s2"), (5, rows[5][1], "en", "s2"), (5, rows[5][1], "en", "s2")]
-    rows += [(300 + i, rows[7][1], "fr", "s0") for i in range(40)] + [(400, rows[8][1] + " end", "en", "s0")]
+    rows += [(300 + i, rows[7][1], "fr", "s0") for i in range(40)] + [(400, rows[8][1] + " end", "en", "s0"), (401, "GERÇEKTEN MI? EVET, İYİ.", "tr", "s0")]
     return spark.createDataFrame([(*r, None, "x", 1, "y", "z") for r in rows], DOCS)
 
 
@@ -29,6 +30,25 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def library_ids(texts):
+    """Ids of whole texts by the tokenizers library alone."""
+    from tokenizers import Tokenizer
+
+    return [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(vocabulary()).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_encoder_splits_only_where_the_library_does():
+    enc = TextEncoder(vocabulary())
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
+    words = [a + c + s for c in letters for s in ["", *string.punctuation, ".)", "!?"] for a in ("", "ab")]
+    words += ["BELKİ.", "İ-", "İİ,", "aİb.", "GERÇEKTEN MI? EVET, İYİ.", "i\u0307.", "ﬁ.", "ΑΣ.", "Σ", "Å.", "e\u0301,", "ab\u0301c!"]
+    assert enc.encode(words) == library_ids(words)
+    rng = random.Random(31)
+    pool = letters + list(string.punctuation + string.digits) * 6 + ["İ"] * 20 + list("\u0301\u0307\u0327 \n\t\x0b\x85\xa0漢ǅ٣²")
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 60))) for _ in range(20_000)]
+    assert enc.encode(texts) == library_ids(texts)
+
+
 def test_encoder_equals_whole_texts(docs):
     enc = TextEncoder(vocabulary())
     texts = [r["text"] or "" for r in docs.collect()] + ["Don't <|endoftext|> a<|startoftext|>b X<|ENDOFTEXT|> it's,", "İΣ é ́x\x1c\x85b 漢字,a 12a3 ²x", "n''t 'S 's.' a_b??c", "x" * 3000]
@@ -303,10 +323,9 @@ def test_pack_counts():
 
 def test_packing(docs, none):
     out = packing.pack(docs, keep_ids=True).collect()
-    enc = TextEncoder(vocabulary())
-    want = {}
-    for r in docs.collect():
-        ids = enc.encode([r["text"]])[0] + b"\0\0\0\0"
+    want, rows = {}, docs.collect()
+    for r, ids in zip(rows, library_ids(r["text"] for r in rows)):
+        ids += b"\0\0\0\0"
         for k in range(0, len(ids), 8192):
             key = (r["doc_id"], k // 8192, zlib.crc32(ids[k : k + 8192]))
             want[key] = want.get(key, 0) + 1
@@ -342,11 +361,10 @@ def test_wavelet_matrix():
 
 
 def test_wavelet_files(spark, docs, none, monkeypatch):
-    enc = TextEncoder(vocabulary())
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
     at, want = 0, []
-    for r in rows:
-        ids = enc.encode([r["text"]])[0] + np.uint32(2).astype("<u4").tobytes()
+    for r, ids in zip(rows, library_ids(r["text"] for r in rows)):
+        ids += np.uint32(2).astype("<u4").tobytes()
         want.append((r["doc_id"], at, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
     monkeypatch.setattr(wavelet, "SEGMENT_TOKENS", 5000)
