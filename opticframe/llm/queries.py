@@ -44,7 +44,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wavelet.documents(wavelet.write(table(spark, sf_dir, "documents"))).drop("ids")
+    return wavelet.documents(wavelet.write(table(spark, sf_dir, "documents")))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 ``write`` deals documents to shards by ranges of doc_id, encodes them there and writes, through Spark's
 Parquet committer, one row per segment whose ``payload`` is a wavelet-matrix file (``WaveletMatrix.to_bytes``):
-bit planes from the highest bit down, each stably parted into its zeros and its ones, deflated one by one,
-beside the directory of the segment's documents.  Any store that Spark writes holds them, a task that is
-run again replaces its own output, and a payload saved on its own is a file that ``from_bytes`` reads.
-A segment ends after the document that reaches SEGMENT_TOKENS, which bounds memory.
+bit planes from the highest bit down, each stably parted into its zeros and its ones, deflated in blocks
+with the count of ones before each, beside the directory of the segment's documents.  Any store that Spark
+writes holds them, a task that is run again replaces its own output, and a payload saved on its own is a
+file that ``from_bytes`` reads.  A segment ends after the document that reaches SEGMENT_TOKENS, which bounds
+memory.  ``documents`` reads whole files back; ``occurrences`` looks a token up by rank and select, and
+inflates the blocks on its way only.
 
 Defined results: null and empty texts give the end id only; rows without doc_id come first; rows of one
-doc_id are ordered by text; an empty table gives no shard.
+doc_id, or of none, are ordered by a hash of their text, and may be parted among shards; an empty table gives
+no shard.
 """
 
 from __future__ import annotations
@@ -26,54 +29,87 @@ from .common import Scratch, bounded_batches
 from .tokens import encoder, vocabulary
 
 SEGMENT_TOKENS = 1 << 20
-#: Bits between two stored counts of ones.
-BLOCK = 512
-MAGIC = b"WMX1"
+#: Bits of a block: each is deflated by itself, beside a stored count of the ones before it.
+BLOCK = 1 << 15
+#: Inflated blocks that a matrix keeps at hand.
+AT_HAND = 256
+MAGIC = b"WMX2"
 
 
 class WaveletMatrix:
-    """A sequence of unsigned integers as bit planes: access, rank and select take one step a plane."""
+    """A sequence of unsigned integers as bit planes: access, rank and select take one step a plane.
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self._counts: list[np.ndarray] = []
+    It works on the file's bytes: planes lie there in deflated blocks, and a step inflates the block that it
+    looks into and no other.  ``inflated`` counts them.
+    """
+
+    def __init__(self, n: int, zeros: np.ndarray, ones: np.ndarray, sizes: np.ndarray, data: bytes):
+        #: zeros of each plane; ones before each block, and in all, of each plane; bytes of each block, plane by plane, and the blocks
+        self.n, self.zeros, self.ones, self.sizes, self.data = n, zeros, ones, sizes, data
+        self.bits, self.blocks = len(zeros), -(-n // BLOCK)
+        self.begin = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.inflated, self._hand = 0, {}
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int | None = None) -> "WaveletMatrix":
         values = np.ascontiguousarray(values)
         bits = bits or max(1, int(values.max(initial=0)).bit_length())
-        planes, zeros = [], []
-        for k in range(bits - 1, -1, -1):
-            ones = (values & values.dtype.type(1 << k)) != 0
-            low = np.flatnonzero(~ones)  # taking by places is far faster than by a mask
-            values = values.take(np.concatenate([low, np.flatnonzero(ones)]))
-            planes.append(np.packbits(ones, bitorder="little"))
-            zeros.append(low.size)
-        return cls(values.size, planes, zeros)
+        blocks = -(-values.size // BLOCK)
+        zeros, ones, sizes, parts = np.zeros(bits, np.int64), np.zeros((bits, blocks + 1), np.int64), np.zeros(bits * blocks, np.uint32), []
+        for level in range(bits):
+            bit = (values & values.dtype.type(1 << bits - 1 - level)) != 0
+            low = np.flatnonzero(~bit)  # taking by places is far faster than by a mask
+            zeros[level] = low.size
+            ones[level, 1:] = np.cumsum(np.add.reduceat(bit, np.arange(0, bit.size, BLOCK), dtype=np.int64)) if blocks else 0
+            plane = np.packbits(bit, bitorder="little").tobytes()
+            for k in range(blocks):
+                raw = plane[k * BLOCK // 8 : (k + 1) * BLOCK // 8]
+                part = zlib.compress(raw, 1)
+                parts.append(part if len(part) < len(raw) else raw)  # a block as long as its bits is stored as it is
+                sizes[level * blocks + k] = len(parts[-1])
+            values = values.take(np.concatenate([low, np.flatnonzero(bit)]))
+        return cls(values.size, zeros, ones, sizes, b"".join(parts))
+
+    def _raw(self, level: int, block: int) -> bytes:
+        k = level * self.blocks + block
+        part = self.data[self.begin[k] : self.begin[k + 1]]
+        self.inflated += 1
+        return part if len(part) == -(-min(BLOCK, self.n - block * BLOCK) // 8) else zlib.decompress(part)
 
     def values(self, dtype=np.uint32) -> np.ndarray:
         """The whole sequence: the planes are put back from the lowest bit up."""
         out = np.zeros(self.n, dtype)
-        for k, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1])):
+        for level in range(self.bits - 1, -1, -1):
+            plane = np.frombuffer(b"".join([self._raw(level, k) for k in range(self.blocks)]), np.uint8)
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             back = np.empty_like(out)
-            back[np.flatnonzero(~ones)] = out[:zeros]
-            back[np.flatnonzero(ones)] = out[zeros:] | dtype(1 << k)
+            back[np.flatnonzero(~ones)] = out[: self.zeros[level]]
+            back[np.flatnonzero(ones)] = out[self.zeros[level] :] | dtype(1 << self.bits - 1 - level)
             out = back
         return out
 
-    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
-        """Ones of a plane before each place: a stored count and the bits of one block."""
-        if not self._counts:
-            for p in self.planes:
-                p = np.pad(p, (0, -p.size % (BLOCK // 8)))
-                per = np.bitwise_count(p).astype(np.int64).reshape(-1, BLOCK // 8).sum(1)
-                self._counts.append(np.concatenate([[0], np.cumsum(per)]))
+    def _block(self, level: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of a block, and the ones in it before each byte."""
+        got = self._hand.pop((level, block), None)
+        if got is None:
+            raw = np.frombuffer(self._raw(level, block) + b"\0", np.uint8)
+            got = raw, np.concatenate([[0], np.cumsum(np.bitwise_count(raw), dtype=np.int64)])
+        self._hand[level, block] = got  # the latest at the end
+        if len(self._hand) > AT_HAND:
+            del self._hand[next(iter(self._hand))]
+        return got
+
+    def _look(self, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bit at each place, ones of the plane before it); a place may be the end."""
         at = np.asarray(at, np.int64)
-        plane, block = self.planes[level], at // BLOCK
-        byte = block[:, None] * (BLOCK // 8) + np.arange(BLOCK // 8)
-        within = np.unpackbits(np.where(byte < plane.size, plane[np.minimum(byte, max(plane.size - 1, 0))] if plane.size else 0, 0).astype(np.uint8), axis=1, bitorder="little")
-        return self._counts[level][block] + (within * (np.arange(BLOCK) < (at % BLOCK)[:, None])).sum(1, dtype=np.int64)
+        bit, ones = np.zeros(at.size, np.int64), np.full(at.size, self.ones[level, -1])
+        for block in np.unique(at[at < self.n] // BLOCK).tolist():
+            here = np.flatnonzero((at // BLOCK == block) & (at < self.n))
+            raw, before = self._block(level, block)
+            byte, rest = np.divmod(at[here] - block * BLOCK, 8)
+            bit[here] = raw[byte] >> rest & 1
+            ones[here] = self.ones[level, block] + before[byte] + np.bitwise_count(raw[byte] & ((1 << rest) - 1))
+        return bit, ones
 
     def access(self, at) -> np.ndarray:
         """Values at places."""
@@ -81,9 +117,8 @@ class WaveletMatrix:
         if at.size and (at.min() < 0 or at.max() >= self.n):
             raise IndexError("place outside the sequence")
         out = np.zeros(at.size, np.int64)
-        for level, plane in enumerate(self.planes):
-            bit = (plane[at // 8] >> (at % 8).astype(np.uint8)) & 1
-            ones = self._ones(level, at)
+        for level in range(self.bits):
+            bit, ones = self._look(level, at)
             out = (out << 1) | bit
             at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
         return out
@@ -98,12 +133,14 @@ class WaveletMatrix:
 
     def _range(self, value: int, end: int) -> tuple[int, int]:
         lo, hi = 0, min(max(end, 0), self.n)
-        if value < 0 or value >> len(self.planes):
+        if value < 0 or value >> self.bits:
             return 0, 0
-        for level in range(len(self.planes)):
-            a, b = map(int, self._ones(level, np.array([lo, hi])))
-            bit = value >> (len(self.planes) - 1 - level) & 1
-            lo, hi = (self.zeros[level] + a, self.zeros[level] + b) if bit else (lo - a, hi - b)
+        for level in range(self.bits):
+            if lo == hi:
+                return 0, 0
+            a, b = map(int, self._look(level, np.array([lo, hi]))[1])
+            one = value >> self.bits - 1 - level & 1
+            lo, hi = (int(self.zeros[level]) + a, int(self.zeros[level]) + b) if one else (lo - a, hi - b)
         return lo, hi
 
     def select(self, value: int, k: int) -> int:
@@ -112,36 +149,30 @@ class WaveletMatrix:
         if not 0 <= k < hi - lo:
             return -1
         at = lo + k
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = value >> (len(self.planes) - 1 - level) & 1
-            nth = at - self.zeros[level] if bit else at
-            a, b = 0, self.n  # the first prefix that holds nth + 1 such bits
-            while a < b:
-                mid = (a + b) // 2
-                ones = int(self._ones(level, np.array([mid + 1]))[0])
-                if (ones if bit else mid + 1 - ones) > nth:
-                    b = mid
-                else:
-                    a = mid + 1
-            at = a
+        for level in range(self.bits - 1, -1, -1):
+            one = value >> self.bits - 1 - level & 1
+            nth = at - int(self.zeros[level]) if one else at
+            before = self.ones[level] if one else np.minimum(np.arange(self.blocks + 1) * BLOCK, self.n) - self.ones[level]
+            block = int(np.searchsorted(before, nth, "right")) - 1
+            bits = np.unpackbits(self._block(level, block)[0], count=min(BLOCK, self.n - block * BLOCK), bitorder="little")
+            at = block * BLOCK + int(np.flatnonzero(bits == one)[nth - int(before[block])])
         return at
 
     def to_bytes(self) -> bytes:
-        packed = [zlib.compress(p.tobytes(), 1) for p in self.planes]
-        head = MAGIC + struct.pack("<QH", self.n, len(packed)) + b"".join(struct.pack("<QQ", z, len(p)) for z, p in zip(self.zeros, packed))
-        return head + b"".join(packed)
+        head = MAGIC + struct.pack("<QH", self.n, self.bits)
+        return head + self.zeros.astype("<u8").tobytes() + self.ones.astype("<u8").tobytes() + self.sizes.astype("<u4").tobytes() + self.data
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> "WaveletMatrix":
+        """The matrix in a file's bytes; nothing is inflated yet."""
         if blob[:4] != MAGIC:
             raise ValueError("not a wavelet-matrix file")
         n, bits = struct.unpack_from("<QH", blob, 4)
-        heads = [struct.unpack_from("<QQ", blob, 14 + 16 * k) for k in range(bits)]
-        at, planes = 14 + 16 * bits, []
-        for _, size in heads:
-            planes.append(np.frombuffer(zlib.decompress(blob[at : at + size]), np.uint8))
-            at += size
-        return cls(n, planes, [z for z, _ in heads])
+        blocks, at, got = -(-n // BLOCK), 14, []
+        for kind, count in (("<u8", bits), ("<u8", bits * (blocks + 1)), ("<u4", bits * blocks)):
+            got.append(np.frombuffer(blob, kind, count, at))
+            at += got[-1].nbytes
+        return cls(n, got[0].astype(np.int64), got[1].astype(np.int64).reshape(bits, blocks + 1), got[2], blob[at:])
 
 
 SEGMENTS = "shard int, segment int, start long, n_docs long, n_tokens long, doc_ids binary, doc_ends binary, no_id int, payload binary"
@@ -181,8 +212,10 @@ def write(docs: DataFrame, vocab: str | None = None, end_id: int = 2, path: str
         if ids:
             yield done()
 
-    order = ["doc_id", "text"]
-    sorted_docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions(*order)
+    # the row's number parts even equal rows of one doc_id, which would else be one partition however many they are
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("_hash", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    order = ["doc_id", "_hash", "_row"]
+    sorted_docs = given.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     made = sorted_docs.withColumn("shard", F.spark_partition_id()).mapInArrow(segment, SEGMENTS)
     if path is None:
         return Scratch(spark, "wavelet").save(made)
@@ -194,26 +227,38 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SEGMENTS).parquet(path)
 
 
-def documents(segments: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) read back from segments; start: ids of all documents before, ids as uint32."""
+def documents(segments: DataFrame, ids: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) read back from segments; start: ids of all documents before, ids as uint32."""
     at, starts = 0, {}  # one number a shard; a segment's row holds where it begins in its shard
     for r in segments.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():
         starts[r["shard"]] = at
         at += r["n"]
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if ids else [])])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data = WaveletMatrix.from_bytes(row["payload"]).values().astype("<u4").tobytes()
+                data = memoryview(WaveletMatrix.from_bytes(row["payload"]).values().astype("<u4").tobytes())
                 doc_ids = np.frombuffer(zlib.decompress(row["doc_ids"]), "<i8").tolist()
                 doc_ids[: row["no_id"]] = [None] * row["no_id"]
                 ends = np.frombuffer(zlib.decompress(row["doc_ends"]), "<i8")
                 begins = np.concatenate([[0], ends[:-1]])
-                ids = [data[a * 4 : b * 4] for a, b in zip(begins.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(doc_ids, pa.int64()), pa.array(begins + row["start"] + starts[row["shard"]], pa.int64()),
-                    pa.array(ends - begins, pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary()),
-                ], schema=schema)
+                parts = [data[a * 4 : b * 4] for a, b in zip(begins.tolist(), ends.tolist())]
+                columns = [pa.array(doc_ids, pa.int64()), pa.array(begins + row["start"] + starts[row["shard"]], pa.int64()), pa.array(ends - begins, pa.int64()), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                if ids:
+                    columns.append(pa.array([x.tobytes() for x in parts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return segments.select("shard", "start", "doc_ids", "doc_ends", "no_id", "payload").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if ids else ""))
+
+
+def occurrences(segments: DataFrame, token: int) -> DataFrame:
+    """(shard, segment, n, first) of every segment: how often a token occurs in it, and its first place there (-1: none)."""
+    bounded_batches(segments.sparkSession)
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = [WaveletMatrix.from_bytes(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w.count(token) for w in files], pa.int64()), pa.array([w.select(token, 0) for w in files], pa.int64())], names=["shard", "segment", "n", "first"])
 
-    return segments.select("shard", "start", "doc_ids", "doc_ends", "no_id", "payload").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return segments.select("shard", "segment", "payload").mapInArrow(looked_up, "shard int, segment int, n long, first long")

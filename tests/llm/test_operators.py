@@ -360,6 +360,26 @@ def test_wavelet_matrix():
         assert w.count(70_000) == 0 and w.select(499, 10**6) == -1
 
 
+def test_lookups_inflate_their_blocks_only():
+    rng = np.random.default_rng(17)
+    values = (rng.zipf(1.3, 300_000) % 40_000).astype(np.uint16)
+    blob = wavelet.WaveletMatrix.build(values).to_bytes()
+    fresh = lambda: wavelet.WaveletMatrix.from_bytes(blob)
+    w = fresh()
+    blocks = w.bits * w.blocks
+    assert w.blocks == 10 and w.inflated == 0 and (w.access([123_456]) == values[123_456]).all() and w.inflated == w.bits
+    w = fresh()
+    assert w.rank(7, 200_000) == (values[:200_000] == 7).sum() and w.inflated <= 2 * w.bits < blocks
+    w, places = fresh(), np.flatnonzero(values == 7)
+    assert w.select(7, 1000) == places[1000] and w.inflated <= 3 * w.bits < blocks
+    for k in (0, len(places) // 2, len(places) - 1):
+        assert w.select(7, k) == places[k]
+    at = rng.integers(0, len(values), 2000)
+    assert (w.access(at) == values[at]).all() and (fresh().values() == values).all()
+    for end in (0, 1, 32_768, 65_536, 65_537, 300_000, 10**9):
+        assert w.rank(1, end) == (values[:end] == 1).sum()
+
+
 def test_wavelet_files(spark, docs, none, monkeypatch):
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
     at, want = 0, []
@@ -368,11 +388,30 @@ def test_wavelet_files(spark, docs, none, monkeypatch):
         want.append((r["doc_id"], at, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
     monkeypatch.setattr(wavelet, "SEGMENT_TOKENS", 5000)
-    got = wavelet.documents(wavelet.write(docs)).drop("ids").collect()
+    files = wavelet.write(docs)
+    got = wavelet.documents(files).collect()
     assert sorted(map(tuple, got), key=lambda t: t[1]) == want
+    assert {(r["start"], zlib.crc32(r["ids"])) for r in wavelet.documents(files, ids=True).collect()} == {(w[1], w[3]) for w in want}
+    found = wavelet.occurrences(files, 2).collect()
+    assert sum(r["n"] for r in found) >= len(want) and all(r["first"] >= 0 for r in found)
+    assert sum(r["n"] for r in wavelet.occurrences(files, 48_000).collect()) == sum(np.frombuffer(r["ids"], "<u4").tolist().count(48_000) for r in wavelet.documents(files, ids=True).collect())
     assert wavelet.documents(wavelet.write(none)).count() == 0
 
 
+def test_many_equal_rows_without_id_are_many_partitions(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("cast(null as long) doc_id", "'a b c' text").union(spark.range(100).selectExpr("id", "'x' text"))
+    monkeypatch.setattr(wavelet, "SEGMENT_TOKENS", 500)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # they are small here
+    try:
+        files = wavelet.write(docs)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    per = [r["n"] for r in files.groupBy("shard").agg({"n_docs": "sum"}).withColumnRenamed("sum(n_docs)", "n").collect()]
+    assert len(per) >= 3 and max(per) <= 0.5 * 4100 and sum(per) == 4100
+    got = sorted(map(tuple, wavelet.documents(files).collect()), key=lambda t: t[1])
+    assert [t[0] for t in got] == [None] * 4000 + list(range(100)) and [t[1] for t in got] == [4 * k for k in range(4000)] + [16_000 + 2 * k for k in range(100)]
+
+
 def _simhash(text, words):
     parts = [w.decode() for w in (text or "").encode().lower().split()]
     shingles = [" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))] if parts else []
