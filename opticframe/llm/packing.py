@@ -150,20 +150,23 @@ def _places(groups: list[tuple[tuple[int, ...], int]], capacity: int) -> Places:
 def pieces(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids) of documents; ids: little-endian unsigned 32-bit, null unless kept."""
     bounded_batches(docs.sparkSession)
-    path, end = vocab or vocabulary(), np.uint32(end_id).astype("<u4").tobytes()
+    path = vocab or vocabulary()
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            cols: list[list] = [[] for _ in schema]
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
-                ids += end
-                for k, lo in enumerate(range(0, len(ids), capacity * 4)):
-                    part = ids[lo : lo + capacity * 4]
-                    for c, v in zip(cols, (doc, k, lo // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+            ids, at = enc.encode(batch.column(1), end_id)
+            many = -(-np.diff(at) // capacity)  # pieces of each document
+            doc = np.repeat(np.arange(len(many)), many)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+            begin = at[doc] + piece * capacity
+            length = np.minimum(at[doc + 1] - begin, capacity)
+            data = memoryview(ids.astype("<u4")).cast("B")
+            parts = [data[4 * a : 4 * b] for a, b in zip(begin.tolist(), (begin + length).tolist())]
+            kept = pa.array([bytes(x) for x in parts], pa.binary()) if keep_ids else pa.nulls(len(doc), pa.binary())
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(x) for x in parts], pa.int64()), kept]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 

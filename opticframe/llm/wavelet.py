@@ -182,34 +182,45 @@ def write(docs: DataFrame, vocab: str | None = None, end_id: int = 2, path: str
     """Encodes documents and writes their segments (see SEGMENTS) below path, in ascending doc_id order; returns them as read back."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    vocab, end = vocab or vocabulary(), np.uint32(end_id).astype("<u4").tobytes()
+    vocab = vocab or vocabulary()
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, number, ids, parts = encoder(vocab), 0, 0, [], []
-        size = before = 0
+        enc, shard, number, before = encoder(vocab), 0, 0, 0
+        doc_ids: list[pa.Array] = []  # of the segment at hand, as are the following
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
 
         def done() -> pa.RecordBatch:
-            nonlocal number, ids, parts, size, before
-            values = np.frombuffer(b"".join(parts), "<u4")
+            nonlocal number, before
+            values, ids = np.concatenate(parts), pa.concat_arrays(doc_ids)
             narrow = values.astype(np.uint16) if values.max(initial=0) < 1 << 16 else values
             row = {
                 "shard": shard, "segment": number, "start": before, "n_docs": len(ids), "n_tokens": values.size,
-                "doc_ids": zlib.compress(np.array([i or 0 for i in ids], "<i8").tobytes(), 1),
-                "doc_ends": zlib.compress(np.cumsum([len(p) // 4 for p in parts], dtype="<i8").tobytes(), 1),
-                "no_id": sum(i is None for i in ids), "payload": WaveletMatrix.build(narrow).to_bytes(),
+                "doc_ids": zlib.compress(ids.fill_null(0).to_numpy().astype("<i8").tobytes(), 1),
+                "doc_ends": zlib.compress(np.cumsum(np.concatenate(sizes)).astype("<i8").tobytes(), 1),
+                "no_id": ids.null_count, "payload": WaveletMatrix.build(narrow).to_bytes(),
             }
-            number, ids, parts, size, before = number + 1, [], [], 0, before + values.size
+            number, before = number + 1, before + values.size
+            for x in (doc_ids, parts, sizes):
+                x.clear()
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("start", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("doc_ends", pa.binary()), ("no_id", pa.int32()), ("payload", pa.binary())]))
 
+        size = 0
         for batch in batches:
-            for doc, part, n in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), batch.column(2).to_pylist()):
-                shard = n
-                ids.append(doc)
-                parts.append(part + end)
-                size += len(part) // 4 + 1
+            ids, at = enc.encode(batch.column(1), end_id)
+            if len(batch):
+                shard = batch.column(2)[0].as_py()
+            lo = 0
+            while lo < len(batch):  # up to the document that reaches SEGMENT_TOKENS
+                hi = min(int(np.searchsorted(at, at[lo] + SEGMENT_TOKENS - size)), len(batch))
+                doc_ids.append(batch.column(0)[lo:hi])
+                parts.append(ids[at[lo] : at[hi]])
+                sizes.append(np.diff(at[lo : hi + 1]))
+                size, lo = size + int(at[hi] - at[lo]), hi
                 if size >= SEGMENT_TOKENS:
                     yield done()
-        if ids:
+                    size = 0
+        if parts:
             yield done()
 
     # the row's number parts even equal rows of one doc_id, which would else be one partition however many they are

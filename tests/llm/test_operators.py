@@ -37,23 +37,43 @@ def library_ids(texts):
     return [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(vocabulary()).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def encoded(enc, texts):
+    ids, at = enc.encode(texts)
+    return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:])]
+
+
 def test_encoder_splits_only_where_the_library_does():
     enc = TextEncoder(vocabulary())
-    letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
+    letters = [c for c in map(chr, range(0x600)) if c.isalpha()]
     words = [a + c + s for c in letters for s in ["", *string.punctuation, ".)", "!?"] for a in ("", "ab")]
     words += ["BELKİ.", "İ-", "İİ,", "aİb.", "GERÇEKTEN MI? EVET, İYİ.", "i\u0307.", "ﬁ.", "ΑΣ.", "Σ", "Å.", "e\u0301,", "ab\u0301c!"]
-    assert enc.encode(words) == library_ids(words)
+    assert encoded(enc, words) == library_ids(words)
     rng = random.Random(31)
     pool = letters + list(string.punctuation + string.digits) * 6 + ["İ"] * 20 + list("\u0301\u0307\u0327 \n\t\x0b\x85\xa0漢ǅ٣²")
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 60))) for _ in range(20_000)]
-    assert enc.encode(texts) == library_ids(texts)
+    assert encoded(enc, texts) == library_ids(texts)
+
+
+def test_encoder_forgets_and_relearns(monkeypatch):
+    from opticframe.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 8)
+    monkeypatch.setattr(tokens, "RUN", 7)
+    enc, rng = TextEncoder(vocabulary()), random.Random(32)
+    words = ["".join(rng.choice("abcdé1İ'") for _ in range(rng.randint(1, 12))) + rng.choice(["", ".", "!?"]) for _ in range(300)]
+    for _ in range(20):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 5))] + [None] * rng.randint(0, 1)
+        assert encoded(enc, texts) == library_ids(texts)
+    ids, at = enc.encode(["a b", None, "c"], 7)
+    assert ids[at[1:] - 1].tolist() == [7] * 3 and np.diff(at).tolist() == [3, 1, 2] and enc.encode([], 7)[1].tolist() == [0]
 
 
 def test_encoder_equals_whole_texts(docs):
     enc = TextEncoder(vocabulary())
     texts = [r["text"] or "" for r in docs.collect()] + ["Don't <|endoftext|> a<|startoftext|>b X<|ENDOFTEXT|> it's,", "İΣ é ́x\x1c\x85b 漢字,a 12a3 ²x", "n''t 'S 's.' a_b??c", "x" * 3000]
     want = enc.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert [np.array(w.ids, "<u4").tobytes() for w in want] == enc.encode(texts)
+    assert [np.array(w.ids, "<u4").tobytes() for w in want] == encoded(enc, texts)
 
 
 def test_trees_learn_and_flat_walk_is_right():
