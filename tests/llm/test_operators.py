@@ -4,6 +4,7 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -266,14 +267,21 @@ def test_unigram_counts(docs, none):
             best.append((s, -n))
         return best[-1][1]
 
-    rows = docs.collect()
+    rows, known = docs.collect(), {}
+
+    def tokens(text):
+        words = (text or "").split()
+        known.update((w, brute(unigram.MARK + w)) for w in set(words) - known.keys())
+        return len(words), sum(known[w] for w in words), len(set(words))
+
     got = unigram.count_tokens(docs).collect()
-    want = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), sum(brute(unigram.MARK + w) for w in (r["text"] or "").split())) for r in rows if len(r["text"] or "") < 5000)
-    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"]) for r in got if r["doc_id"] != 203) == want
-    trie = unigram.UnigramTrie(scores, nodes=50)
-    word = unigram.MARK + "漢字thinking" * 60
-    assert trie.count(word) == brute(word) == unigram.UnigramTrie(scores).count(word)
-    assert unigram.count_tokens(none).count() == 0
+    key = lambda i: -1 if i is None else i
+    assert sorted((key(r["doc_id"]), r["n_words"], r["n_tokens"], r["n_distinct"]) for r in got) == sorted((key(r["doc_id"]), *tokens(r["text"])) for r in rows)
+    rng = random.Random(33)
+    words = sorted({"".join(rng.choice("theinagr 漢字é▁=*x😀".replace(" ", "")) for _ in range(rng.randint(1, 30))) for _ in range(1500)} | {"x" * 700, "representation" * 30, "=" * 200, "漢字thinking" * 60})
+    for few in (1, 8, 10_000):  # all over the trie, some alone, all alone
+        assert unigram.UnigramTrie(scores, few).counts(pa.array(words)).tolist() == [brute(unigram.MARK + w) for w in words]
+    assert unigram.UnigramTrie(scores).counts(pa.array([], pa.string())).tolist() == [] and unigram.count_tokens(none).count() == 0
 
 
 def test_differencing():
