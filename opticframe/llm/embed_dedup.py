@@ -86,7 +86,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id
     rows = scratch.save(given.where(usable).mapInArrow(keyed, "vec_id long, label binary, vkey binary, v binary"))
     classes = scratch.save(rows.groupBy("vkey").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("rep"), F.first("label").alias("label"), F.first("v").alias("v")))
     sizes = classes.groupBy("label").agg(F.count(F.lit(1)).alias("_m")).withColumn("blocks", F.ceil(F.col("_m") / F.lit(block_rows)).cast("int"))
-    dealt = attach(classes, sizes, "label", "vkey", "_m", classes.count())
+    dealt = attach(classes, sizes, "label", "_m", classes.count())
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vkey"), F.col("blocks")).cast("int"))
 
     def blocked(group: pa.Table) -> pa.Table:
@@ -128,6 +128,6 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id
     components = connected_components(linked.select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch)
     known = classes.drop("v", "label").join(links, "vkey", "left").join(components, F.col("rep") == F.col("node"), "left")
     known = known.select("vkey", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    found = attach(rows.select("vec_id", "vkey"), known, "vkey", "vec_id", "n", rows.count()).drop("vkey")
+    found = attach(rows.select("vec_id", "vkey"), known, "vkey", "n", rows.count()).drop("vkey")
     alone = given.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -176,9 +176,9 @@ def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, en
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     cut = pieces(docs, vocab, capacity, end_id, keep_ids)
-    cut = scratch.save(cut if keep_ids else cut.drop("ids"))
+    cut = scratch.save((cut if keep_ids else cut.drop("ids")).withColumn("row", F.monotonically_increasing_id()))  # parts equal rows among chunks
     chunks = max(LEAST_CHUNKS, cut.count() // CHUNK_ROWS)
-    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "ids_crc32", "piece"), F.lit(chunks)).cast("int"))
+    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int")).drop("row")
     counted = scratch.save(cut.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n")))
     counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     places = pack_counts(counts, capacity)

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, attach
 
 SHARDS, EXTRA = 24, 8
-#: Most blocks, and groups of a block from which on there are more blocks (as many of the largest are differenced before them); groups that are differenced in one heap.
-BLOCKS, BLOCK_GROUPS, RUN = 4096, 20_000, 20_000
+#: Groups of a block (as many of the largest are differenced before all blocks); groups that are differenced in one heap.
+BLOCK_GROUPS, RUN = 20_000, 20_000
 #: Slots are counted within (shard, chunk); a chunk has about so many rows.
 CHUNK_ROWS, LEAST_CHUNKS = 100_000, 96
 
@@ -87,7 +87,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, extra: int = EXTRA) -> DataFram
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "sharding")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text).cast("long") + extra).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("_text"))
-    rows = scratch.save(rows.withColumn("_row", F.xxhash64("doc_id", "text_crc32")))
+    rows = scratch.save(rows.withColumn("_row", F.monotonically_increasing_id()))  # parts equal rows among chunks
     total = rows.count()
     groups = scratch.save(rows.groupBy("_text").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
     count = groups.count()
@@ -98,7 +98,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, extra: int = EXTRA) -> DataFram
         large = large.append_column("shard", pa.array(part, pa.int32()))
         least, key = large.column("bytes")[-1].as_py(), large.column("_text")[-1].as_py()
         others = groups.where((F.col("bytes") < least) | ((F.col("bytes") == least) & (F.col("_text") > F.lit(key))))
-        blocks = min(BLOCKS, -(-(count - BLOCK_GROUPS) // BLOCK_GROUPS))
+        blocks = -(-(count - BLOCK_GROUPS) // BLOCK_GROUPS)
 
     def differencing(base: np.ndarray, share: int | None):
         """Blocks on top of base; share: on top of what makes them give the parts' lacks in proportion, of so many bytes in all."""
@@ -129,7 +129,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, extra: int = EXTRA) -> DataFram
     classes = reduce(DataFrame.unionByName, placed).select("_text", "n", "shard")
     chunks = max(LEAST_CHUNKS, total // CHUNK_ROWS)
     chunk = F.pmod(F.xxhash64("_row"), F.lit(chunks)).cast("int")
-    found = scratch.save(attach(rows, classes, "_text", "_row", "n", total).withColumn("chunk", chunk))
+    found = scratch.save(attach(rows, classes, "_text", "n", total).withColumn("chunk", chunk))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = found.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n")).select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     among = Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size", "_text")

@@ -251,7 +251,7 @@ def link(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int
     classes = scratch.save(classes.select("key", "n", F.col("least.doc_id").alias("rep"), "least.fp", "least.shingles", "least.sketch"))
     components = connected_components(near_edges(classes, radius, ratio), scratch)
     known = classes.join(components, F.col("rep") == F.col("node"), "left").select("key", "n", F.coalesce("component", "rep").alias("component_id"))
-    found = attach(rows.select("doc_id", "fp", "key"), known, "key", "doc_id", "n", rows.count())
+    found = attach(rows.select("doc_id", "fp", "key"), known, "key", "n", rows.count())
     return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

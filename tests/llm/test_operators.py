@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import string
@@ -242,6 +243,35 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("sources", [5, 5000])
+def test_mixing_deals_out_equal_rows_and_joins_many_sources(spark, docs, monkeypatch, sources):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", sources)
+    monkeypatch.setattr(common, "HEAVY", 20)
+    monkeypatch.setattr(mixing, "HEAVY", 20)
+    rows = [(None, "", "a")] * 900 + [(7, "same", "a")] * 900 + [(10 + i, f"t{i}", f"s{i % 40}") for i in range(800)] + [(5000 + i, "x", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {**{f"s{i}": 1.0 for i in range(40)}, "a": 100.0, None: 1.0}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # they are small here
+    try:
+        mixed = mixing.mix(df, weights, total=2840, details=True)
+        out = mixed.collect()
+        parts = [r["n"] for r in mixed.selectExpr("spark_partition_id() p").groupBy("p").count().withColumnRenamed("count", "n").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(parts) < 0.4 * len(out) and len(parts) == 4
+    rate = {r["source"]: r["_rate"] for r in out}
+    n = {"a": 1800, None: 40} | {f"s{i}": 20 for i in range(40)}
+    assert rate.keys() <= n.keys() and all(abs(x - weights[s] / 141 * 2840 / n[s]) < 1e-9 for s, x in rate.items())
+    for r in out:
+        least, cdf = mixing.poisson_table(r["_rate"])
+        told = str(r["doc_id"]) if r["doc_id"] is not None else "null"
+        if r["doc_id"] is not None:
+            u = int(hashlib.md5(f"0:{told}:null".encode()).hexdigest()[:13], 16) / 2**52
+            assert r["_copies"] == least + sum(x <= u for x in cdf)
+    assert len({r["_copies"] for r in out if r["doc_id"] is None}) <= 1
+    assert len(mixing.mix(docs, {}).take(1)) == 0
+
+
 def test_mixing_tells_rows_of_one_doc_id_apart(spark):
     rows = [(i, f"text {i}", "s") for i in range(600)] + [(7000, f"other {i}", "s") for i in range(1500)] + [(8000, "same", "s")] * 400 + [(None, f"none {i}", "s") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -548,14 +578,76 @@ def test_short_near_copies(spark):
     assert len(kept & set(range(2, 1200, 4))) >= 285  # but for slots that hold two shingles
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
     from opticframe.llm.components import connected_components
 
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (7, 7)]
-    got = connected_components(spark.createDataFrame(chain, "a long, b long"), common.Scratch(spark, "test")).collect()
+    got = connected_components(spark.createDataFrame(chain, "a long, b long"), common.Scratch(spark, "test"), few).collect()
     assert {r["node"]: r["component"] for r in got} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 103: 100}
 
 
+@pytest.mark.parametrize("kind", ["binary", "long"])
+def test_attach_spreads_a_heavy_class_and_shuffles_the_rest(spark, monkeypatch, kind):
+    monkeypatch.setattr(common, "HEAVY", 10)
+    key = (lambda k: bytearray(k.to_bytes(16, "big"))) if kind == "binary" else (lambda k: k)
+    rows = [(key(1), None)] * 3000 + [(key(2 + i % 500), i) for i in range(2000)] + [(key(9999), 5)]
+    classes = [(key(1), 3000, "heavy")] + [(key(2 + i), 4, f"c{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, f"k {kind}, id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = common.attach(df, spark.createDataFrame(classes, f"k {kind}, n long, name string"), "k", "n", 5001)
+        parts = [r["count"] for r in got.selectExpr("spark_partition_id() p").groupBy("p").count().collect()]
+        rows_of = [(bytes(r["k"]) if kind == "binary" else r["k"], r["id"], r["name"]) for r in got.collect()]
+        plan = got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan and max(parts) < 0.4 * 5001
+    name = {bytes(k) if kind == "binary" else k: x for k, _, x in classes}
+    want = [(bytes(k) if kind == "binary" else k, i, name.get(bytes(k) if kind == "binary" else k)) for k, i in rows]
+    assert sorted(rows_of, key=str) == sorted(want, key=str)
+
+
+def test_scratch_is_shared_and_released(spark, monkeypatch):
+    before = common.saved(spark)
+    t = common.Scratch(spark, "test")
+    a, b = t.save(spark.range(3)), t.save(spark.range(4))
+    assert common.saved(spark) == [*before, a.scratch_path, b.scratch_path]
+    t.drop(a)
+    common.release(spark, common.saved(spark)[len(before) :])
+    assert common.saved(spark) == before
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|No such file"):
+        spark.read.parquet(b.scratch_path).count()
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        common.scratch_root(Cluster)
+
+
+@pytest.mark.parametrize("operator", ["shard", "pack"])
+def test_equal_rows_without_id_part_among_chunks(spark, monkeypatch, operator):
+    seen = []
+    module = {"shard": sharding, "pack": packing}[operator]
+    monkeypatch.setattr(module, "LEAST_CHUNKS", 8)
+    save = common.Scratch.save
+    monkeypatch.setattr(common.Scratch, "save", lambda self, df: seen.append(save(self, df)) or seen[-1])
+    docs = spark.range(0, 4000, 1, 4).selectExpr("cast(null as long) doc_id", "cast(null as string) text")
+    out = getattr(module, operator)(docs).collect()
+    chunked = [t for t in seen if "chunk" in t.columns]
+    sizes = [r["s"] for t in chunked for r in t.groupBy("chunk").agg({"n" if "n" in t.columns else "*": "sum" if "n" in t.columns else "count"}).toDF("chunk", "s").collect()]
+    assert sizes and max(sizes) < 0.25 * 4000
+    places = sorted((r["shard"], r["slot"]) if operator == "shard" else (r["sequence_id"], r["offset"]) for r in out)
+    assert len(set(places)) == 4000 and (operator == "pack" or [s for _, s in places] == list(range(4000)))
+
+
 def test_pipeline(spark, docs, none, tmp_path):
     import corpus_pipeline
 
