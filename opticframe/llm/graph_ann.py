@@ -214,10 +214,10 @@ def search(queries: DataFrame, built: DataFrame, k: int = 5, id_col: str = "vec_
     spark = queries.sparkSession
     bounded_batches(spark)
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("_v")).where(F.col("query_id").isNotNull() & valid("_v"))
-    shards = [r[0] for r in built.select("shard").collect()]  # a number for each shard
+    shards = (built.agg(F.max("shard")).first()[0] or 0) + 1  # shards are numbered; one that is not there finds nothing
     groups = max(1, -(-asked.count() // QUERY_ROWS))
     each = asked.withColumn("_group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
-    each = each.withColumn("shard", F.explode(F.array(*[F.lit(s).cast("int") for s in shards]) if shards else F.expr("cast(array() as array<int>)")))
+    each = each.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     parts = built.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def find(asked: pa.Table, part: pa.Table) -> pa.Table:
@@ -255,7 +255,7 @@ def search(queries: DataFrame, built: DataFrame, k: int = 5, id_col: str = "vec_
             qid, vid, s = best(*(np.concatenate([o[j] for o in out]) for j in range(3)), k)
         return pa.table({"query_id": qid, "vec_id": vid, "score": s}, schema=schema)
 
-    n = max(1, len(shards) * groups)
+    n = shards * groups
     found = each.repartition(n, "shard", "_group").groupBy("shard", "_group").cogroup(parts.repartition(n, "shard", "_group").groupBy("shard", "_group")).applyInArrow(find, "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -5,8 +5,9 @@ Glob rules are packed, one after the other, into the words of Shift-And masks: a
 once: states shift left, and stay only where the mask of the byte has a literal; states before a wildcard
 also stay by themselves.  ``*`` takes any bytes but ``/``, ``**`` any bytes, ``?`` one byte but ``/``.
 
-A url's canonical form is ``.`` + host + path, so that ``*.net/de/**`` fits ``net`` and its subdomains
-and nothing else.  Where several rules fit, the one with the longest text wins (then the first given);
+A url's canonical form is ``.`` + host + ``/`` + path, where the path is empty or has its own slash, so that
+``*.net//de/**`` fits the path ``/de/`` of ``net`` and its subdomains, ``*.net/**`` any path of these, and
+neither a host that only begins or ends like it.  Where several rules fit, the one with the longest text wins (then the first given);
 where none fits, the default verdict holds.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no host rule and
@@ -26,6 +27,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
 @dataclass(frozen=True)
 class Rule:
     action: str  # allow or block
@@ -34,8 +38,10 @@ class Rule:
 
     @classmethod
     def host_path(cls, action: str, text: str) -> "Rule":
-        """A rule for a host with all its subdomains, and the paths that start with its path."""
-        return cls(action, text, "*." + "".join("\\" + c if c in "*?\\" else c for c in text) + "**")
+        """A rule for a host (A-Z as a-z) with all its subdomains, and the paths that start with its path: all, if it has none."""
+        host, slash, path = text.partition("/")
+        quoted = "".join("\\" + c if c in "*?\\" else c for c in f"{host.translate(_LOWER)}/{slash}{path}")
+        return cls(action, text, f"*.{quoted}**")
 
 
 class Automaton:
@@ -109,9 +115,6 @@ def _parts(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), cut(rest[len(host) :], "?#")
 
 
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
 def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id_col, host, path, rule, verdict) of every page; one pass, no shuffle."""
     bounded_batches(pages.sparkSession)
@@ -122,7 +125,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: s
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [_parts(u) for u in batch.column(1).to_pylist()]
-            fits = automaton.match([f".{h}{p}".encode("utf-8", "surrogatepass") for h, p in parts])
+            fits = automaton.match([f".{h}/{p}".encode("utf-8", "surrogatepass") for h, p in parts])
             best = np.where(fits.any(1), fits.argmax(1), len(ranked)).tolist() if ranked else [0] * len(parts)
             columns = [pa.array([p[k] for p in parts], pa.string()) for k in (0, 1)] + [pa.array([x[k] for k in best], pa.string()) for x in (texts, actions)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_id", "host", "path", "rule", "verdict"])

@@ -127,9 +127,25 @@ def test_url_edges(spark):
     pages = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, host string, verdict string")
     got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
     assert got == {(1, "a.net", "/de/8", "a.net/de/8", "allow"), (2, "b.net", "/de/", "net/de/", "block"), (3, "xnet", "/de/", None, "allow"), (4, "", "", None, "allow"), (5, "", "", None, "allow"), (6, "net", "", None, "allow")}
+    long = "http://net/" + "a/" * 10_000
+    few = spark.createDataFrame([(1, long + "z"), (2, "http://" + "h" * 20_000 + ".net/de/"), (3, "http://net/de/" + "a" * 20_000)], "page_id long, url string")
+    judged = url_filter.judge(few, rules).collect()
+    assert [(r["page_id"], r["verdict"], len(r["path"])) for r in sorted(judged, key=lambda r: r["page_id"])] == [(1, "allow", 20_002), (2, "block", 4), (3, "block", 20_004)]
     assert url_filter.judge(pages.where("false"), rules).count() == 0 and url_filter.judge(pages, []).count() == 7
 
 
+def test_rules_for_a_host_alone(spark):
+    rules = [url_filter.Rule.host_path("block", t) for t in ("Example.COM", "a.org/", "b.org/x*y", "c.org/~")]
+    urls = ["http://example.com", "http://example.com?q", "http://www.EXAMPLE.com/any/path", "http://example.community", "http://example.com.net/", "http://badexample.com/", "http://a.org", "http://a.org/", "http://q.a.org/z", "http://b.org/x*y/1", "http://b.org/xzy", "http://c.org/~me", "http://c.org//~"]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+
+    def blocked(url):
+        host, path = url_filter._parts(url)
+        return any((host == h or host.endswith("." + h)) and path.startswith(p) for h, p in (("example.com", ""), ("a.org", "/"), ("b.org", "/x*y"), ("c.org", "/~")))
+
+    assert [r["verdict"] == "block" for r in sorted(got, key=lambda r: r["page_id"])] == [blocked(u) for u in urls] == [True, True, True, False, False, False, False, True, True, True, False, True, False]
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(5)
