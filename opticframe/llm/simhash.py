@@ -1,19 +1,23 @@
 """SimHash near-duplicates, by vantage-point trees.
 
 ``fingerprints`` sums the bits of every word shingle's XXH64 (and, for more than 64 bits, of mixes of it).
-Equal fingerprints are one class.  A tree built from a bounded sample parts the classes by their Hamming
-distance from vantage points: near side up to a threshold, far side beyond.  A pair within the radius can
+Equal fingerprints are one class.  A tree, whose depth follows the number of classes and which is built from a
+sample of them, parts the classes by their Hamming distance from vantage points: near side up to a threshold,
+far side beyond.  A pair within the radius can
 lie on both sides only if its near one is within the radius of the boundary, so those near ones go to the
 far side as well (the triangle bound); then each such pair meets in at least one shard.  A shard goes on
 splitting by vantage points from its own midst, in memory, with the same bound, and compares what is left
 by XOR and bit counts.  It returns for each class the least one it is joined to, never its pairs.  Where
-no vantage point parts the rows, as with a radius near the spread of random distances, shards are tiled.
+no vantage point parts the rows, as with a radius near the spread of random distances, shards are tiled: each
+two blocks of TILE_ROWS are one task's, which compares across and, on the diagonal, within.
 
 ``ratio`` (0: none) links only texts whose numbers of distinct shingles differ by no more than that factor, as
 they do where the Jaccard similarity is ratio or more; it deals the classes to bands of the number as well,
 each compared within itself and with the band below.  A pair within
 the radius is then held against a sketch of its shingle sets (the least hash in each of SLOTS ranges, a byte
 of it), and is linked only if the share of equal slots does not speak against a Jaccard similarity of ratio.
+That is a second pass, in the components of the first: only classes that have one within the radius move
+their sketches.
 The sketch is nearly exact for texts of fewer shingles than slots, as each slot then holds but one of them.
 
 Defined results: null and empty texts have the fingerprint zero and link as any other; a shorter text than
@@ -43,8 +47,9 @@ SLOTS, DOUBT, PAIRS = 1024, 2.5, 1 << 13
 FAR = 6.5
 #: A slot that no hash has reached.
 _NONE = np.uint64((1 << 64) - 1)
-#: Fingerprints the tree is built from, at most; classes of a shard to aim at; of a task, beyond which a shard is tiled; compared outright.
-SAMPLE, SHARD_ROWS, TILE_ROWS, OUTRIGHT = 16_384, 8192, 32_768, 512
+#: Sampled fingerprints for each leaf of the tree, and in all at most (8 MB, enough for a thousand million classes); classes of a
+#: shard to aim at; of a block, beyond which a shard is tiled; compared outright.
+LEAF_SAMPLE, SAMPLE, SHARD_ROWS, TILE_ROWS, OUTRIGHT = 8, 1 << 20, 8192, 4096, 512
 
 
 def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -110,33 +115,38 @@ def distance(x: np.ndarray, vantage: np.ndarray) -> np.ndarray:
 
 
 class VantageTree:
-    """Vantage points and thresholds of a binary tree; leaves are numbered as they are met."""
+    """Vantage points and thresholds of a binary tree, in arrays by node; leaves are numbered as they are met."""
 
     def __init__(self, sample: np.ndarray, depth: int, radius: int):
-        self.radius, self.leaves = radius, 0
-        self.root = self._grow(np.unique(sample, axis=0), depth)
-
-    def _grow(self, x: np.ndarray, depth: int):
+        self.radius, self.leaves, nodes = radius, 0, []
+        root = self._grow(np.unique(sample, axis=0), depth, nodes)
+        #: by node: vantage point, threshold, and the nodes (or, below 0, the leaf -1 - k) of the near and the far side
+        self.vantage = np.array([n[0] for n in nodes], np.uint64).reshape(len(nodes), sample.shape[1])
+        self.limit, self.near, self.far = (np.array([n[k] for n in nodes], np.int32) for k in (1, 2, 3))
+        self.root = root
+
+    def _grow(self, x: np.ndarray, depth: int, nodes: list) -> int:
         if depth <= 0 or len(x) < 4 or (best := split(x, self.radius)) is None:
             self.leaves += 1
-            return self.leaves - 1
+            return -self.leaves
         vantage, limit = best
-        near = distance(x, vantage) <= limit
-        return vantage, limit, self._grow(x[near], depth - 1), self._grow(x[~near], depth - 1)
+        near, at = distance(x, vantage) <= limit, len(nodes)
+        nodes.append(None)
+        nodes[at] = (vantage, limit, self._grow(x[near], depth - 1, nodes), self._grow(x[~near], depth - 1, nodes))
+        return at
 
     def leaf_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in x, leaves): each fingerprint's shards."""
-        places, leaves, todo = [], [], [(self.root, np.arange(len(x)))]
-        while todo:
-            node, at = todo.pop()
-            if isinstance(node, int):
-                places.append(at)
-                leaves.append(np.full(len(at), node, np.int32))
-                continue
-            vantage, limit, near, far = node
-            d = distance(x[at], vantage)
-            todo += [(near, at[d <= limit]), (far, at[d > limit - self.radius])]
-        return np.concatenate(places), np.concatenate(leaves)
+        places, leaves, at, node = [], [], np.arange(len(x)), np.full(len(x), self.root)
+        while len(at):  # a level at a time
+            ended = node < 0
+            places.append(at[ended])
+            leaves.append((-1 - node[ended]).astype(np.int32))
+            at, node = at[~ended], node[~ended]
+            d, limit = distance(x[at], self.vantage[node]), self.limit[node]
+            near, far = d <= limit, d > limit - self.radius
+            at, node = np.concatenate([at[near], at[far]]), np.concatenate([self.near[node[near]], self.far[node[far]]])
+        return np.concatenate([*places, np.zeros(0, np.int64)]), np.concatenate([*leaves, np.zeros(0, np.int32)])
 
 
 def split(x: np.ndarray, radius: int, tries: int = 6) -> tuple[np.ndarray, int] | None:
@@ -163,29 +173,36 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float, shingles: np.ndarray
     return same >= used * similarity - DOUBT * np.sqrt(used * similarity * (1 - similarity) * hidden) - 1e-9
 
 
-def join_near(x: np.ndarray, radius: int, shingles: np.ndarray | None = None, ratio: float = 0.0, home: np.ndarray | None = None, sketch: np.ndarray | None = None) -> Forest:
-    """Joins all pairs of fingerprints within the radius and ratio (and with sketches alike); home: pairs of which neither is marked may be left out."""
+def join_near(x: np.ndarray, radius: int, shingles: np.ndarray | None = None, ratio: float = 0.0, home: np.ndarray | None = None, sketch: np.ndarray | None = None, side: np.ndarray | None = None) -> Forest:
+    """Joins all pairs of fingerprints within the radius and ratio (and with sketches alike); home: pairs of which neither is marked may be left out;
+    side: only pairs of which one is marked are asked for."""
     forest, todo = Forest(len(x)), [np.arange(len(x))]
     while todo:
         at = todo.pop()
         got = split(x[at], radius) if len(at) > OUTRIGHT else None
         if got is None:
-            _outright(forest, x, at, radius, shingles if ratio else None, ratio, home, sketch)
+            few = shingles if ratio else None
+            if few is not None:
+                at = at[np.argsort(few[at], kind="stable")]
+            a, b = (at, at) if side is None else (at[side[at]], at[~side[at]])
+            _outright(forest, x, a, b, radius, few, ratio, home, sketch)
             continue
         d = distance(x[at], got[0])
         todo += [at[d <= got[1]], at[d > got[1] - radius]]
     return forest
 
 
-def _outright(forest: Forest, x: np.ndarray, at: np.ndarray, radius: int, shingles: np.ndarray | None, ratio: float, home: np.ndarray | None, sketch: np.ndarray | None) -> None:
-    if shingles is not None:
-        at = at[np.argsort(shingles[at], kind="stable")]
-    for lo in range(0, len(at), OUTRIGHT):
-        a = at[lo : lo + OUTRIGHT]
-        for hi in range(lo, len(at), OUTRIGHT):
-            b = at[hi : hi + OUTRIGHT]
-            if shingles is not None and shingles[a[-1]] < ratio * shingles[b[0]]:
-                break  # those that follow have still more shingles
+def _outright(forest: Forest, x: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, shingles: np.ndarray | None, ratio: float, home: np.ndarray | None, sketch: np.ndarray | None) -> None:
+    """Joins what is near of left and right (or within left, if right is the same); both in the order of shingles, if these are given."""
+    for lo in range(0, len(left), OUTRIGHT):
+        a = left[lo : lo + OUTRIGHT]
+        first, last = lo if right is left else 0, len(right)
+        if shingles is not None:  # those of right that the ratio leaves for any of a
+            counts = shingles[right]
+            first = max(first, int(np.searchsorted(counts, ratio * shingles[a[0]] * (1 - 1e-12))))
+            last = int(np.searchsorted(counts, shingles[a[-1]] / ratio * (1 + 1e-12), "right"))
+        for hi in range(first, last, OUTRIGHT):
+            b = right[hi : min(hi + OUTRIGHT, last)]
             if home is not None and not home[a].any() and not home[b].any():
                 continue
             d = np.bitwise_count(x[a, None, 0] ^ x[b, 0]).astype(np.uint16)
@@ -207,35 +224,45 @@ def _outright(forest: Forest, x: np.ndarray, at: np.ndarray, radius: int, shingl
                 forest.join(i[both], j[both])
 
 
-def near_edges(classes: DataFrame, radius: int, ratio: float = 0.0, shard_rows: int = SHARD_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(a, b) edges between the reps of classes (fp, rep, shingles[, sketch]) whose components are those of all pairs within the radius and ratio, with sketches alike."""
-    spark = classes.sparkSession
-    classes = classes.select("fp", "rep", "shingles", F.col("sketch") if "sketch" in classes.columns else F.unhex(F.lit("")).alias("sketch"))
-    sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow()
+def dealt(classes: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Classes (fp, ...) with leaf: a row for each of their shards of a vantage-point tree."""
     depth = max(0, int(np.ceil(np.log2(max(1, classes.count() / shard_rows)))))
-    tree = VantageTree(blocks_of(sample.column("fp")), depth, radius)
+    sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, LEAF_SAMPLE << depth)).toArrow() if depth else None
+    tree = VantageTree(blocks_of(sample.column("fp")) if depth else np.zeros((0, 1), np.uint64), depth, radius)
+    place, names = classes.columns.index("fp"), [*classes.columns, "leaf"]
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, leaf = tree.leaf_of(blocks_of(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(leaf)], names=["fp", "rep", "shingles", "sketch", "leaf"])
+            at, leaf = tree.leaf_of(blocks_of(batch.column(place)))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(leaf, pa.int64())], names=names)
+
+    if not tree.leaves > 1:
+        return classes.withColumn("leaf", F.lit(0).cast("long"))
+    return classes.mapInArrow(leaves, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", leaf long")
+
 
-    shards = classes.mapInArrow(dealt, "fp binary, rep long, shingles long, sketch binary, leaf int")
+def near_edges(shards: DataFrame, radius: int, ratio: float = 0.0, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(a, b) edges between the reps of classes (leaf, fp, rep, shingles[, sketch]) whose components are those of all pairs of one leaf
+    within the radius and ratio, with sketches alike if there are any."""
+    sketched = "sketch" in shards.columns
+    shards = shards.select("leaf", "fp", "rep", "shingles", *(["sketch"] if sketched else []))
     # a pair within the ratio is in one band or in two that follow each other: each row also visits the band above its own
     band = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1)).cast("double")) / F.lit(-float(np.log(ratio))) + F.lit(1e-9)).cast("int") if ratio else F.lit(0)
     visits = F.array(F.lit(0), F.lit(1)) if ratio else F.array(F.lit(0))
     shards = shards.withColumn("up", F.explode(visits)).withColumn("band", band + F.col("up")).withColumn("home", F.col("up") == 0).drop("up")
-    shards = Scratch(spark, "vantage").save(shards)
-    sizes = shards.groupBy("leaf", "band").agg(F.count(F.lit(1)).alias("_n")).select("leaf", "band", F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("blocks"))
-    tiled = shards.join(F.broadcast(sizes), ["leaf", "band"])  # sizes: a row for each leaf of the tree and each of the few bands of the count's logarithm
-    tiled = tiled.withColumn("block", F.pmod(F.xxhash64("fp", "shingles"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("leaf", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "rep", "shingles", "sketch", "home")
+    sizes = shards.groupBy("leaf", "band").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile_rows)
+    sizes = sizes.select("leaf", "band", F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("blocks"))
+    # sizes: a row for each shard of more than tile_rows rows
+    tiled = shards.join(F.broadcast(sizes), ["leaf", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    tiled = tiled.withColumn("block", F.pmod(F.xxhash64("fp", "shingles", "rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = tiled.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("first", F.col("block") == F.col("i")).drop("block", "other", "blocks")
 
     def joined(shard: pa.Table) -> pa.Table:
         shard = shard.take(pa.array(np.argsort(shard.column("rep").to_numpy(), kind="stable")))
         rep, count = shard.column("rep").to_numpy(), shard.column("shingles").to_numpy()
-        sketch = np.frombuffer(b"".join(shard.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-        hub = rep[join_near(blocks_of(shard.column("fp")), radius, count, ratio, shard.column("home").to_numpy(), sketch if sketch.shape[1] else None).label]
+        across = shard.column("first").to_numpy() if shard.column("i")[0] != shard.column("j")[0] else None
+        sketch = np.frombuffer(b"".join(shard.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1) if sketched else None
+        hub = rep[join_near(blocks_of(shard.column("fp")), radius, count, ratio, shard.column("home").to_numpy(), sketch, across).label]
         apart = hub != rep
         return pa.table({"a": rep[apart], "b": hub[apart]})
 
@@ -247,9 +274,16 @@ def link(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int
     scratch = Scratch(docs.sparkSession, "simhash")
     key = F.concat("fp", "sketch", F.col("shingles").cast("string").cast("binary")) if ratio else F.col("fp")
     rows = scratch.save(fingerprints(docs, words, blocks, SLOTS if ratio else 0).withColumn("key", F.unhex(F.md5(key))))
-    classes = rows.where(F.col("doc_id").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "fp", "shingles", "sketch")).alias("least"))
-    classes = scratch.save(classes.select("key", "n", F.col("least.doc_id").alias("rep"), "least.fp", "least.shingles", "least.sketch"))
-    components = connected_components(near_edges(classes, radius, ratio), scratch)
+    # rows of one key have one fp and, with a ratio, one number of shingles
+    count = F.col("shingles") if ratio else F.lit(0).cast("long").alias("shingles")
+    classes = scratch.save(rows.where(F.col("doc_id").isNotNull()).groupBy("key", "fp", count).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")))
+    shards = scratch.save(dealt(classes.select("fp", "rep", "shingles"), radius))
+    components = connected_components(near_edges(shards, radius, ratio), scratch)
+    if ratio:
+        near = classes.join(components, F.col("rep") == F.col("node")).select("key", "fp", "shingles", "rep", F.col("component").alias("leaf"))
+        sketches = rows.select("key", F.col("doc_id").alias("rep"), "sketch")
+        suspects = scratch.save(near.join(sketches, ["key", "rep"]).dropDuplicates(["key", "rep"]))
+        components = connected_components(near_edges(suspects, radius, ratio), scratch)
     known = classes.join(components, F.col("rep") == F.col("node"), "left").select("key", "n", F.coalesce("component", "rep").alias("component_id"))
     found = attach(rows.select("doc_id", "fp", "key"), known, "key", "n", rows.count())
     return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

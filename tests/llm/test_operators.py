@@ -514,7 +514,7 @@ def test_join_near_equals_brute_force():
     home = {}
     for a, n in zip(at.tolist(), leaf.tolist()):
         home.setdefault(a, set()).add(n)
-    assert tree.leaves > 4 and all(home[a] & home[b] for a, b in zip(r.tolist(), c.tolist()))
+    assert tree.leaves > 4 and sorted(set(leaf.tolist())) == list(range(tree.leaves)) and all(home[a] & home[b] for a, b in zip(r.tolist(), c.tolist()))
 
 
 def test_simhash_links(docs, none):
@@ -543,7 +543,7 @@ def test_tiles_and_bands_lose_nothing(spark):
     n = rng.integers(50, 400, 400)
     n[200:300] = (n[:100] * rng.uniform(0.7, 1.2, 100)).astype(int)
     classes = spark.createDataFrame([(bytearray(f.tobytes()), i, int(c)) for i, (f, c) in enumerate(zip(x, n))], "fp binary, rep long, shingles long")
-    edges = simhash.near_edges(classes, 52, 0.8, tile_rows=40).collect()
+    edges = simhash.near_edges(simhash.dealt(classes, 52), 52, 0.8, tile_rows=40).collect()
     got = simhash.Forest(400)
     got.join(np.array([r["a"] for r in edges]), np.array([r["b"] for r in edges]))
     want = simhash.Forest(400)
@@ -552,6 +552,23 @@ def test_tiles_and_bands_lose_nothing(spark):
     assert (got.label == want.label).all() and len(set(want.label)) < 400
 
 
+def test_the_tree_follows_the_classes(spark):
+    rng = np.random.default_rng(10)
+    x = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
+    x[3000:4000] = x[:1000] ^ (np.uint64(1) << rng.integers(0, 63, 1000).astype(np.uint64))
+    classes = spark.createDataFrame([(bytearray(f.tobytes()), i, 0) for i, f in enumerate(x)], "fp binary, rep long, shingles long")
+    shards = simhash.dealt(classes, 2, shard_rows=150)
+    leaves = [r["count"] for r in shards.groupBy("leaf").count().collect()]
+    assert len(leaves) > 30 and max(leaves) < 1500  # the boundaries are on both sides
+    want = simhash.Forest(6000)
+    want.join(*np.nonzero(np.bitwise_count(x[:, None] ^ x) <= 2))
+    for tile_rows in (50, 10_000):
+        edges = simhash.near_edges(shards, 2, tile_rows=tile_rows).collect()
+        got = simhash.Forest(6000)
+        got.join(np.array([r["a"] for r in edges]), np.array([r["b"] for r in edges]))
+        assert (got.label == want.label).all() and len(set(want.label)) == 5000
+
+
 def test_sketches_part_what_only_resembles(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
