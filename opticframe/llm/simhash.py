@@ -12,8 +12,11 @@ no vantage point parts the rows, as with a radius near the spread of random dist
 two blocks of TILE_ROWS are one task's, which compares across and, on the diagonal, within.
 
 ``ratio`` (0: none) links only texts whose numbers of distinct shingles differ by no more than that factor, as
-they do where the Jaccard similarity is ratio or more; it deals the classes to bands of the number as well,
-each compared within itself and with the band below.  A pair within
+they do where the Jaccard similarity is ratio or more.  At the radius that goes with such a similarity no vantage
+point parts anything, so classes meet, in place of the tree's shards, where two hashes that follow each other
+among the KEYS + 1 smallest of their distinct shingles are the same: of similar texts most of these hashes are shared,
+and two that follow each other nearly always.  The work then goes with the number of texts and the sizes of
+their groups, not with the square of all texts.  A pair within
 the radius is then held against a sketch of its shingle sets (the least hash in each of SLOTS ranges, a byte
 of it), and is linked only if the share of equal slots does not speak against a Jaccard similarity of ratio.
 That is a second pass, in the components of the first: only classes that have one within the radius move
@@ -43,6 +46,8 @@ WORDS, RADIUS, SEED = 3, 2, 42
 RUN = 1 << 14
 #: Slots of a sketch, standard deviations by which its estimate may fall short, pairs held against their sketches at once.
 SLOTS, DOUBT, PAIRS = 1024, 2.5, 1 << 13
+#: Pairs of neighbouring least hashes under which a text meets others.  Texts of a similarity of 0.8 share none with a chance of about 0.51 to the power of 18.
+KEYS = 16
 #: Standard deviations by which `distinct`'s radius stays below the distance of random fingerprints.
 FAR = 6.5
 #: A slot that no hash has reached.
@@ -76,32 +81,42 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, words: int = WORDS, blocks: int = 1, slots: int = 0) -> tuple[np.ndarray, int, np.ndarray]:
-    """SimHash of a whole text, as so many blocks of 64 bits, its number of shingles (with a sketch, of distinct ones), and a sketch of their set (0: an empty slot)."""
+def meeting_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of a set of hashes (sorted): each two that follow each other among the least ones; of fewer than two, the one, or none of a fixed value."""
+    least = hashes[: KEYS + 1]
+    if len(least) < 2:
+        return np.r_[least, np.zeros(1 - len(least), np.uint64)].view(np.int64)
+    return (mixed(least[:-1], 1) ^ mixed(least[1:], 2)).view(np.int64)
+
+
+def fingerprint(text: str | None, words: int = WORDS, blocks: int = 1, slots: int = 0) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """SimHash of a whole text, as so many blocks of 64 bits, its number of shingles; with slots: of distinct ones, a sketch of their set (0: an empty slot), and its meeting keys."""
     ones, n, least, kinds = np.zeros((blocks, 64), np.int64), 0, np.full(slots, _NONE), []
     for h in shingle_hashes(text, words):
         n += len(h)
         if slots:
-            np.minimum.at(least, h % np.uint64(slots), h // np.uint64(slots))
             kinds.append(np.unique(h))
+            np.minimum.at(least, kinds[-1] % np.uint64(slots), kinds[-1] // np.uint64(slots))
         for k in range(blocks):
             ones[k] += np.unpackbits(mixed(h, k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    fp = np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
+    fp, keys = np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0], np.zeros(0, np.int64)
     if slots:
-        n = len(np.unique(np.concatenate(kinds))) if kinds else 0
-    return fp, n, np.where(least == _NONE, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+        distinct = np.unique(np.concatenate(kinds)) if len(kinds) > 1 else kinds[0] if kinds else np.zeros(0, np.uint64)
+        n, keys = len(distinct), meeting_keys(distinct)
+    return fp, n, np.where(least == _NONE, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8), keys
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, blocks: int = 1, slots: int = 0) -> DataFrame:
-    """(doc_id, fp binary: little-endian blocks of 64 bits, shingles, sketch) of every document."""
+    """(doc_id, fp binary: little-endian blocks of 64 bits, shingles, sketch, keys) of every document."""
     bounded_batches(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, counts, sketches = zip(*[fingerprint(t, words, blocks, slots) for t in batch.column(1).to_pylist()]) if len(batch) else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in fps], pa.binary()), pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in sketches], pa.binary())], names=["doc_id", "fp", "shingles", "sketch"])
+            fps, counts, sketches, keys = zip(*[fingerprint(t, words, blocks, slots) for t in batch.column(1).to_pylist()]) if len(batch) else ((),) * 4
+            columns = [pa.array([x.tobytes() for x in fps], pa.binary()), pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in sketches], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "fp", "shingles", "sketch", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, fp binary, shingles long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, fp binary, shingles long, sketch binary, keys array<long>")
 
 
 def blocks_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -173,9 +188,8 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float, shingles: np.ndarray
     return same >= used * similarity - DOUBT * np.sqrt(used * similarity * (1 - similarity) * hidden) - 1e-9
 
 
-def join_near(x: np.ndarray, radius: int, shingles: np.ndarray | None = None, ratio: float = 0.0, home: np.ndarray | None = None, sketch: np.ndarray | None = None, side: np.ndarray | None = None) -> Forest:
-    """Joins all pairs of fingerprints within the radius and ratio (and with sketches alike); home: pairs of which neither is marked may be left out;
-    side: only pairs of which one is marked are asked for."""
+def join_near(x: np.ndarray, radius: int, shingles: np.ndarray | None = None, ratio: float = 0.0, sketch: np.ndarray | None = None, side: np.ndarray | None = None) -> Forest:
+    """Joins all pairs of fingerprints within the radius and ratio (and with sketches alike); side: only pairs of which one is marked are asked for."""
     forest, todo = Forest(len(x)), [np.arange(len(x))]
     while todo:
         at = todo.pop()
@@ -185,14 +199,14 @@ def join_near(x: np.ndarray, radius: int, shingles: np.ndarray | None = None, ra
             if few is not None:
                 at = at[np.argsort(few[at], kind="stable")]
             a, b = (at, at) if side is None else (at[side[at]], at[~side[at]])
-            _outright(forest, x, a, b, radius, few, ratio, home, sketch)
+            _outright(forest, x, a, b, radius, few, ratio, sketch)
             continue
         d = distance(x[at], got[0])
         todo += [at[d <= got[1]], at[d > got[1] - radius]]
     return forest
 
 
-def _outright(forest: Forest, x: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, shingles: np.ndarray | None, ratio: float, home: np.ndarray | None, sketch: np.ndarray | None) -> None:
+def _outright(forest: Forest, x: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, shingles: np.ndarray | None, ratio: float, sketch: np.ndarray | None) -> None:
     """Joins what is near of left and right (or within left, if right is the same); both in the order of shingles, if these are given."""
     for lo in range(0, len(left), OUTRIGHT):
         a = left[lo : lo + OUTRIGHT]
@@ -203,8 +217,6 @@ def _outright(forest: Forest, x: np.ndarray, left: np.ndarray, right: np.ndarray
             last = int(np.searchsorted(counts, shingles[a[-1]] / ratio * (1 + 1e-12), "right"))
         for hi in range(first, last, OUTRIGHT):
             b = right[hi : min(hi + OUTRIGHT, last)]
-            if home is not None and not home[a].any() and not home[b].any():
-                continue
             d = np.bitwise_count(x[a, None, 0] ^ x[b, 0]).astype(np.uint16)
             for k in range(1, x.shape[1]):
                 d += np.bitwise_count(x[a, None, k] ^ x[b, k])
@@ -241,19 +253,23 @@ def dealt(classes: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> Data
     return classes.mapInArrow(leaves, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", leaf long")
 
 
+def met(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Classes (key, fp, shingles, rep, keys) with leaf: a row for each of their meeting keys that another class has too."""
+    thin = classes.select("key", F.explode("keys").alias("leaf"))
+    live = scratch.save(thin.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("live", F.lit(True)))
+    there = attach(thin, live, "leaf", "_n", classes.agg(F.sum(F.size("keys"))).first()[0] or 0).where("live").select("key", "leaf")
+    return there.join(classes.drop("keys", "n"), "key")
+
+
 def near_edges(shards: DataFrame, radius: int, ratio: float = 0.0, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(a, b) edges between the reps of classes (leaf, fp, rep, shingles[, sketch]) whose components are those of all pairs of one leaf
     within the radius and ratio, with sketches alike if there are any."""
     sketched = "sketch" in shards.columns
     shards = shards.select("leaf", "fp", "rep", "shingles", *(["sketch"] if sketched else []))
-    # a pair within the ratio is in one band or in two that follow each other: each row also visits the band above its own
-    band = F.floor(F.log(F.greatest(F.col("shingles"), F.lit(1)).cast("double")) / F.lit(-float(np.log(ratio))) + F.lit(1e-9)).cast("int") if ratio else F.lit(0)
-    visits = F.array(F.lit(0), F.lit(1)) if ratio else F.array(F.lit(0))
-    shards = shards.withColumn("up", F.explode(visits)).withColumn("band", band + F.col("up")).withColumn("home", F.col("up") == 0).drop("up")
-    sizes = shards.groupBy("leaf", "band").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile_rows)
-    sizes = sizes.select("leaf", "band", F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("blocks"))
+    sizes = shards.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile_rows)
+    sizes = sizes.select("leaf", F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("blocks"))
     # sizes: a row for each shard of more than tile_rows rows
-    tiled = shards.join(F.broadcast(sizes), ["leaf", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    tiled = shards.join(F.broadcast(sizes), "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     tiled = tiled.withColumn("block", F.pmod(F.xxhash64("fp", "shingles", "rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = tiled.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("first", F.col("block") == F.col("i")).drop("block", "other", "blocks")
 
@@ -262,28 +278,28 @@ def near_edges(shards: DataFrame, radius: int, ratio: float = 0.0, tile_rows: in
         rep, count = shard.column("rep").to_numpy(), shard.column("shingles").to_numpy()
         across = shard.column("first").to_numpy() if shard.column("i")[0] != shard.column("j")[0] else None
         sketch = np.frombuffer(b"".join(shard.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1) if sketched else None
-        hub = rep[join_near(blocks_of(shard.column("fp")), radius, count, ratio, shard.column("home").to_numpy(), sketch, across).label]
+        hub = rep[join_near(blocks_of(shard.column("fp")), radius, count, ratio, sketch, across).label]
         apart = hub != rep
         return pa.table({"a": rep[apart], "b": hub[apart]})
 
-    return tiled.groupBy("leaf", "band", "i", "j").applyInArrow(joined, "a long, b long")
+    return tiled.groupBy("leaf", "i", "j").applyInArrow(joined, "a long, b long")
 
 
 def link(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int = 1, ratio: float = 0.0) -> DataFrame:
     """(doc_id, fp, component_id) of every document: components of fingerprints within the radius (and ratio)."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    key = F.concat("fp", "sketch", F.col("shingles").cast("string").cast("binary")) if ratio else F.col("fp")
-    rows = scratch.save(fingerprints(docs, words, blocks, SLOTS if ratio else 0).withColumn("key", F.unhex(F.md5(key))))
-    # rows of one key have one fp and, with a ratio, one number of shingles
-    count = F.col("shingles") if ratio else F.lit(0).cast("long").alias("shingles")
-    classes = scratch.save(rows.where(F.col("doc_id").isNotNull()).groupBy("key", "fp", count).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")))
-    shards = scratch.save(dealt(classes.select("fp", "rep", "shingles"), radius))
+    key = F.concat("fp", "sketch", F.concat_ws(",", F.col("shingles").cast("string"), F.col("keys").cast("array<string>")).cast("binary")) if ratio else F.col("fp")
+    rows = fingerprints(docs, words, blocks, SLOTS if ratio else 0).withColumn("key", F.unhex(F.md5(key)))
+    rows = scratch.save(rows if ratio else rows.select("doc_id", "fp", "key"))
+    # rows of one key have one fp and, with a ratio, one number of shingles and the same meeting keys
+    of = [F.col("shingles"), F.col("keys")] if ratio else [F.lit(0).cast("long").alias("shingles")]
+    classes = scratch.save(rows.where(F.col("doc_id").isNotNull()).groupBy("key", "fp", *of).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")))
+    shards = scratch.save(met(classes, scratch) if ratio else dealt(classes.select("fp", "rep", "shingles"), radius))
     components = connected_components(near_edges(shards, radius, ratio), scratch)
     if ratio:
         near = classes.join(components, F.col("rep") == F.col("node")).select("key", "fp", "shingles", "rep", F.col("component").alias("leaf"))
-        sketches = rows.select("key", F.col("doc_id").alias("rep"), "sketch")
-        suspects = scratch.save(near.join(sketches, ["key", "rep"]).dropDuplicates(["key", "rep"]))
-        components = connected_components(near_edges(suspects, radius, ratio), scratch)
+        sketches = rows.select("key", "sketch").distinct()  # copies fall together before they are shuffled
+        components = connected_components(near_edges(scratch.save(near.join(sketches, "key")), radius, ratio), scratch)
     known = classes.join(components, F.col("rep") == F.col("node"), "left").select("key", "n", F.coalesce("component", "rep").alias("component_id"))
     found = attach(rows.select("doc_id", "fp", "key"), known, "key", "n", rows.count())
     return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -294,7 +310,7 @@ def distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: i
 
     Two texts resemble each other if the ratio of their numbers of distinct shingles is at least the similarity,
     and the Jaccard similarity that their sketches estimate does not fall short of it by more than DOUBT standard
-    deviations.  The fingerprints only choose the pairs whose sketches are held against each other: their radius is
+    deviations.  The meeting keys and fingerprints only choose the pairs whose sketches are held against each other: their radius is
     not that of the similarity, about which close copies scatter, but as wide as random pairs allow.  Rows without
     doc_id stay; rows of one doc_id stay or go together.
     """

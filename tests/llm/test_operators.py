@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from opticframe.llm import common, embed_dedup, graph_ann, mixing, packing, quality, sharding, simhash, unigram, url_filter, wavelet
 from opticframe.llm.tokens import TextEncoder, vocabulary
@@ -536,7 +537,7 @@ def test_simhash_links(docs, none):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None] and simhash.link(none).count() == 0
 
 
-def test_tiles_and_bands_lose_nothing(spark):
+def test_tiles_lose_nothing(spark):
     rng = np.random.default_rng(9)
     x = rng.integers(0, 1 << 63, (400, 4), dtype=np.uint64)
     x[200:300] = x[:100] ^ (np.uint64(3) << rng.integers(0, 60, (100, 1)).astype(np.uint64))
@@ -569,6 +570,24 @@ def test_the_tree_follows_the_classes(spark):
         assert (got.label == want.label).all() and len(set(want.label)) == 5000
 
 
+@pytest.mark.parametrize(("common", "left", "right"), [(1, 0, 0), (4, 0, 1), (8, 1, 1), (12, 0, 3), (16, 2, 2), (40, 5, 5), (80, 0, 20), (200, 25, 25), (2000, 250, 250)])
+def test_similar_sets_meet(common, left, right):
+    rng, missed = np.random.default_rng(common), 0
+    for _ in range(3000):
+        h = rng.integers(0, 1 << 63, common + left + right, dtype=np.uint64)
+        a, b = np.sort(h[: common + left]), np.sort(np.r_[h[:common], h[common + left :]])
+        missed += not np.isin(simhash.meeting_keys(a), simhash.meeting_keys(b)).any()
+    assert missed <= 1  # similarity 0.8: expected is under 0.03, and none at all of sets that the keys hold whole
+
+
+def test_meeting_classes(spark):
+    rows = [(bytearray([i]) * 16, bytearray(8), 5, i, [100, 200 + i // 2, 300 + i]) for i in range(20)]
+    classes = spark.createDataFrame(rows, "key binary, fp binary, shingles long, rep long, keys array<long>").withColumn("n", F.lit(1))
+    got = sorted((r["leaf"], r["rep"]) for r in simhash.met(classes, common.Scratch(spark, "test")).collect())
+    assert got == sorted([(100, i) for i in range(20)] + [(200 + i // 2, i) for i in range(20)])
+    assert simhash.met(classes.where("false"), common.Scratch(spark, "test")).count() == 0
+
+
 def test_sketches_part_what_only_resembles(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
