@@ -53,7 +53,7 @@ FAR = 6.5
 #: A slot that no hash has reached.
 _NONE = np.uint64((1 << 64) - 1)
 #: Sampled fingerprints for each leaf of the tree, and in all at most (8 MB, enough for a thousand million classes); classes of a
-#: shard to aim at; of a block, beyond which a shard is tiled; compared outright.
+#: shard to aim at; of a block, beyond which a shard is tiled (of the tree's shards four times as many as they aim at); compared outright.
 LEAF_SAMPLE, SAMPLE, SHARD_ROWS, TILE_ROWS, OUTRIGHT = 8, 1 << 20, 8192, 4096, 512
 
 
@@ -268,21 +268,41 @@ def near_edges(shards: DataFrame, radius: int, ratio: float = 0.0, tile_rows: in
     shards = shards.select("leaf", "fp", "rep", "shingles", *(["sketch"] if sketched else []))
     sizes = shards.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile_rows)
     sizes = sizes.select("leaf", F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("blocks"))
-    # sizes: a row for each shard of more than tile_rows rows
-    tiled = shards.join(F.broadcast(sizes), "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    packs = max(1, shards.count() // tile_rows)
+    # sizes: a row for each shard of more than tile_rows rows, whose tiles are a task's each; of smaller ones many are taken together
+    tiled = shards.join(F.broadcast(sizes), "leaf", "left").withColumn("large", F.col("blocks").isNotNull()).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    tiled = tiled.withColumn("pack", F.when(F.col("large"), F.col("leaf")).otherwise(F.pmod(F.xxhash64("leaf"), F.lit(packs))))
     tiled = tiled.withColumn("block", F.pmod(F.xxhash64("fp", "shingles", "rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = tiled.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("first", F.col("block") == F.col("i")).drop("block", "other", "blocks")
 
     def joined(shard: pa.Table) -> pa.Table:
-        shard = shard.take(pa.array(np.argsort(shard.column("rep").to_numpy(), kind="stable")))
-        rep, count = shard.column("rep").to_numpy(), shard.column("shingles").to_numpy()
-        across = shard.column("first").to_numpy() if shard.column("i")[0] != shard.column("j")[0] else None
+        leaf = shard.column("leaf").to_numpy()
+        shard = shard.take(pa.array(np.lexsort((shard.column("rep").to_numpy(), leaf))))
+        leaf, rep, count = np.sort(leaf), shard.column("rep").to_numpy(), shard.column("shingles").to_numpy()
+        x, first = blocks_of(shard.column("fp")), shard.column("first").to_numpy()
+        across = shard.column("i")[0] != shard.column("j")[0]
         sketch = np.frombuffer(b"".join(shard.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1) if sketched else None
-        hub = rep[join_near(blocks_of(shard.column("fp")), radius, count, ratio, sketch, across).label]
+        forest, begin = Forest(len(rep)), np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
+        size = np.diff(np.r_[begin, len(rep)])
+        if not across:  # most shards are of two: all of these at once
+            i = begin[size == 2]
+            near = distance(x[i], x[i + 1]) <= radius
+            if ratio:
+                near &= np.minimum(count[i], count[i + 1]) >= ratio * np.maximum(count[i], count[i + 1])
+            i = i[near]
+            if sketched:
+                i = i[alike(sketch[i], sketch[i + 1], ratio, count[i] + count[i + 1])]
+            forest.join(i, i + 1)
+            begin, size = begin[size > 2], size[size > 2]
+        for lo, hi in zip(begin.tolist(), (begin + size).tolist()):
+            at = slice(lo, hi)
+            label = join_near(x[at], radius, count[at], ratio, sketch[at] if sketched else None, first[at] if across else None).label
+            forest.join(np.arange(lo, hi), lo + label)
+        hub = rep[forest.label]
         apart = hub != rep
         return pa.table({"a": rep[apart], "b": hub[apart]})
 
-    return tiled.groupBy("leaf", "i", "j").applyInArrow(joined, "a long, b long")
+    return tiled.groupBy("large", "pack", "i", "j").applyInArrow(joined, "a long, b long")
 
 
 def link(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int = 1, ratio: float = 0.0) -> DataFrame:
@@ -295,7 +315,7 @@ def link(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int
     of = [F.col("shingles"), F.col("keys")] if ratio else [F.lit(0).cast("long").alias("shingles")]
     classes = scratch.save(rows.where(F.col("doc_id").isNotNull()).groupBy("key", "fp", *of).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")))
     shards = scratch.save(met(classes, scratch) if ratio else dealt(classes.select("fp", "rep", "shingles"), radius))
-    components = connected_components(near_edges(shards, radius, ratio), scratch)
+    components = connected_components(near_edges(shards, radius, ratio, TILE_ROWS if ratio else 4 * SHARD_ROWS), scratch)
     if ratio:
         near = classes.join(components, F.col("rep") == F.col("node")).select("key", "fp", "shingles", "rep", F.col("component").alias("leaf"))
         sketches = rows.select("key", "sketch").distinct()  # copies fall together before they are shuffled
