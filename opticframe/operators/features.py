@@ -14,9 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .grid import gaussian, resize, stencil
+from .arrays import images
+from .grid import gaussian, grey_frames, resize, stencil
 
 #: Least side of an octave's images.
 SMALLEST = 12
@@ -161,18 +163,16 @@ def _rows(frames: DataFrame, schema: str, of) -> DataFrame:
 
     def mapped(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                data = np.array([np.nan if v is None else v for v in r["data"] or []], np.float64)
-                whole = data.size and data.size == (r["height"] or 0) * (r["width"] or 0)
-                rows = of(data.reshape(r["height"], r["width"])) if whole else []
+            for video, frame, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), images(batch)):
+                rows = of(image) if image is not None else []
                 if rows:
-                    yield pa.RecordBatch.from_pylist([{"video_id": r["video_id"], "frame_no": r["frame_no"], "number": i, **x} for i, x in enumerate(rows)], schema=arrow)
+                    yield pa.RecordBatch.from_pylist([{"video_id": video, "frame_no": frame, "number": i, **x} for i, x in enumerate(rows)], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return frames.select("video_id", "frame_no", "height", "width", "data").mapInArrow(mapped, schema)
+    return frames.select(F.col("video_id").cast("string"), F.col("frame_no").cast("long"), "height", "width", F.col("data").cast("array<double>")).mapInArrow(mapped, schema)
 
 
 def keypoints(frames: DataFrame, config: Config = Config()) -> DataFrame:
@@ -192,3 +192,8 @@ def differences(frames: DataFrame, config: Config = Config()) -> DataFrame:
         return [{"octave": o, "scale": s, "height": d.shape[0], "width": d.shape[1], "data": d.ravel().tolist()} for o, images in enumerate(scale_space(image, config)) for s, d in enumerate(np.diff(images, axis=0))]
 
     return _rows(frames, "video_id string, frame_no long, number int, octave int, scale int, height int, width int, data array<double>", of)
+
+
+def image_descriptors(images: DataFrame, height: int | None = None, width: int | None = None, config: Config = Config()) -> DataFrame:
+    """Descriptors of decoded images (see readers.read_images; video_id is the path), brought to a size before if one is given; an image without any has no row."""
+    return descriptors(grey_frames(images, height, width), config)

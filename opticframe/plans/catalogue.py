@@ -94,7 +94,7 @@ uv AS (SELECT f + 1 AS frame_no, y, x,
 _EMA = _FLOW + """,
 sm AS (SELECT a.frame_no, a.y, a.x, sum(0.1 * pow(0.9, a.frame_no - b.frame_no) * b.u) AS u, sum(0.1 * pow(0.9, a.frame_no - b.frame_no) * b.v) AS v FROM uv AS a JOIN uv AS b ON a.y = b.y AND a.x = b.x AND b.frame_no <= a.frame_no GROUP BY a.frame_no, a.y, a.x)"""
 _POOL = _EMA + """,
-cells AS (SELECT frame_no, i, j, avg(u) AS u, avg(v) AS v FROM sm JOIN (SELECT i, j FROM range(0, 5) AS a(i), range(0, 5) AS b(j)) ON abs(y - i * 20 // 5) <= 5 AND abs(x - j * 24 // 5) <= 5 GROUP BY frame_no, i, j),
+cells AS (SELECT frame_no, i, j, avg(u) AS u, avg(v) AS v FROM sm JOIN (SELECT i, j FROM range(0, 5) AS a(i), range(0, 5) AS b(j)) ON abs(y - floor(5 + i / 5 * (20 - 11) + 0.5)) <= 5 AND abs(x - floor(5 + j / 5 * (24 - 11) + 0.5)) <= 5 GROUP BY frame_no, i, j),
 kept AS (SELECT * FROM cells WHERE sqrt(u * u + v * v) > 1e-4)"""
 
 
@@ -183,6 +183,26 @@ def vec_l2_cosine_dot(spark, sf_dir):
     return p.select("vec_id", F.round(vec.distance(a, b), 9).alias("l2"), F.round(vec.dot(a, b), 9).alias("dot"), F.round(vec.cosine(a, b), 9).alias("cosine"))
 
 
+@register(_NEXT + f""", r AS (SELECT vec_id, list_transform(list_zip(a, b), lambda z: z[1] + z[2]) AS p, list_transform(list_zip(a, b), lambda z: z[1] - z[2]) AS m, list_transform(a, lambda x: x / 3) AS t, a, b FROM p)
+SELECT vec_id, (unnest(range(1, 65)) - 1)::INT AS i, round(unnest(p), 9) AS added, round(unnest(m), 9) AS taken, round(unnest(t), 9) AS third, round(unnest(a), 9) AS same, round(sqrt({_DOT.format('m', 'm')}), 9) AS distance FROM r""")
+def vec_arithmetic(spark, sf_dir):
+    e = embeddings(spark, sf_dir).select("vec_id", vec.doubles("embedding").alias("a"))
+    p = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    a, b = F.col("a"), F.col("b")
+    of = {"added": vec.add(a, b), "taken": vec.subtract(a, b), "third": vec.scale(a, F.lit(1.0) / 3), "same": vec.times(vec.identity(64), a)}
+    zipped = p.select("vec_id", vec.mahalanobis(a, b, vec.identity(64)).alias("d"), F.arrays_zip(*[v.alias(k) for k, v in of.items()]).alias("z"))
+    each = zipped.select("vec_id", "d", F.posexplode("z").alias("i", "z"))
+    return each.select("vec_id", "i", *[F.round(f"z.{k}", 9).alias(k) for k in of], F.round("d", 9).alias("distance"))
+
+
+@register(f"WITH e AS ({_E}), d AS (SELECT vec_id, e, e[1] * e[4] - e[2] * e[3] AS det FROM e) SELECT vec_id, round(e[4] / det, 6) AS a, round(-e[2] / det, 6) AS b, round(-e[3] / det, 6) AS c, round(e[1] / det, 6) AS d FROM d WHERE abs(det) > 1e-4")
+def vec_inverse_2x2(spark, sf_dir):
+    v = vec.doubles("embedding")
+    e = embeddings(spark, sf_dir).select("vec_id", v[0].alias("p"), v[1].alias("q"), v[2].alias("r"), v[3].alias("s"))
+    got = vec.inverse2(*map(F.col, "pqrs"))
+    return e.where(F.abs(F.col("p") * F.col("s") - F.col("q") * F.col("r")) > 1e-4).select("vec_id", *[F.round(x, 6).alias(n) for x, n in zip(got, "abcd")])
+
+
 def _flat(df, name="v"):
     """(vec_id, i, value) of an array column."""
     return df.select("vec_id", F.posexplode(name).alias("i", "value")).select("vec_id", "i", F.round("value", 9).alias("value"))
@@ -237,13 +257,13 @@ def _centroid_rows(spark, centroids):
 @register(_CENTRES + _step(1, "c0") + " SELECT cid::INT AS cid, (unnest(range(1, len(c) + 1)) - 1)::INT AS i, round(unnest(c), 8) AS value FROM c1")
 def kmeans_step(spark, sf_dir):
     first = first_centroids(spark, sf_dir)
-    return _centroid_rows(spark, cluster.update(cluster.assign(embeddings(spark, sf_dir), first), first))
+    return _centroid_rows(spark, cluster.step(embeddings(spark, sf_dir), first)[0])
 
 
 @register(_CENTRES + _step(1, "c0") + f" SELECT round(sum(s), 8) AS shift FROM (SELECT {_SUM.format('list_transform(list_zip(c0.c, c1.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))')} AS s FROM c0 JOIN c1 ON c0.cid = c1.cid)")
 def kmeans_shift(spark, sf_dir):
     first = first_centroids(spark, sf_dir)
-    return spark.createDataFrame([(round(cluster.shift(first, cluster.update(cluster.assign(embeddings(spark, sf_dir), first), first)), 8),)], "shift double")
+    return spark.createDataFrame([(round(cluster.shift(first, cluster.step(embeddings(spark, sf_dir), first)[0]), 8),)], "shift double")
 
 
 @register(_CENTRES + _step(1, "c0") + _step(2, "c1") + _step(3, "c2") + ", n AS (SELECT cid, count(*) AS n FROM a3 GROUP BY cid), k AS (SELECT row_number() OVER (ORDER BY cid) - 1 AS cid, c3.c FROM c3 JOIN n USING (cid) WHERE n > 50) SELECT cid::INT AS cid, (unnest(range(1, len(c) + 1)) - 1)::INT AS i, round(unnest(c), 8) AS value FROM k")
@@ -277,31 +297,45 @@ def clusters_in_radius(spark, sf_dir):
     return cluster.within(embeddings(spark, sf_dir), first_centroids(spark, sf_dir), 1.3).select("vec_id", F.explode("cids").alias("cid"))
 
 
-_BEST = _BAGS + f", s AS (SELECT a.image AS source, b.image AS target, round({_D.format('a.bow', 'b.bow')}, 9) AS d, round({_DOT.format('a.bow', 'b.bow')}, 9) AS c FROM bags AS a JOIN bags AS b ON a.image < 25 AND b.image >= 25)"
+_BEST = _BAGS + f""", d AS (SELECT a.image AS source, b.image AS target, {_D.format('a.bow', 'b.bow')} AS d FROM bags AS a JOIN bags AS b ON a.image < 25 AND b.image >= 25),
+s AS (SELECT source, target, round({{0}}, 9) AS d FROM d) SELECT source, min_by(target, (d, target)) AS target, {{1}} AS score FROM s GROUP BY source"""
 
 
-@register(_BEST + " SELECT source, round(max(c), 7) AS score FROM s GROUP BY source")
+@register(_BEST.format("d * d / 2", "round(1 - min(d), 9)"))
 def bow_rank_cosine(spark, sf_dir):
     b = _bags(spark, sf_dir)
-    return cluster.best_image(b.where("image_id < 25"), b.where("image_id >= 25")).select("source", F.round("score", 7).alias("score"))
+    return cluster.best_image(b.where("image_id < 25"), b.where("image_id >= 25"))
 
 
-@register(_BEST + " SELECT source, min_by(target, (d, target)) AS target, round(min(d), 7) AS score FROM s GROUP BY source")
+@register(_BEST.format("d", "min(d)"))
 def bow_rank_l2(spark, sf_dir):
     b = _bags(spark, sf_dir)
-    return cluster.best_image(b.where("image_id < 25"), b.where("image_id >= 25"), "l2").withColumn("score", F.round("score", 7))
+    return cluster.best_image(b.where("image_id < 25"), b.where("image_id >= 25"), "l2")
 
 
-@register(_CENTRES + _step(1, "c0") + " SELECT cid::INT AS cid, (i - 1)::INT AS i, (j - 1)::INT AS j, round(covar_pop(e[i], e[j]), 9) AS value FROM a1, range(1, 9) AS r(i), range(1, 9) AS s(j) WHERE i <= j GROUP BY cid, i, j")
+@register(_CENTRES + _step(1, "c0") + " SELECT cid::INT AS cid, (i - 1)::INT AS i, (j - 1)::INT AS j, round(covar_pop(e[i], e[j]), 9) AS value FROM a1, range(1, 65) AS r(i), range(1, 65) AS s(j) WHERE i <= j GROUP BY cid, i, j")
 def cluster_covariance(spark, sf_dir):
     assigned = cluster.assign(embeddings(spark, sf_dir), first_centroids(spark, sf_dir))
-    return cluster.covariance(assigned, 8).withColumn("value", F.round("value", 9))
+    return cluster.covariance(assigned).withColumn("value", F.round("value", 9))
+
+
+SEEDED = cluster.random_centroids(K, 64, 7)
+_SEEDED = f"WITH e AS ({_E}), c0 AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {c}::DOUBLE[])" for i, c in enumerate(SEEDED)) + ") AS t(cid, c))"
+
+
+@register(_SEEDED + _step(1, "c0") + _step(2, "c1") + ", n AS (SELECT cid, count(*) AS n FROM a2 GROUP BY cid), k AS (SELECT row_number() OVER (ORDER BY cid) - 1 AS cid, c2.c FROM c2 JOIN n USING (cid) WHERE n > 50) SELECT cid::INT AS cid, (unnest(range(1, len(c) + 1)) - 1)::INT AS i, round(unnest(c), 8) AS value FROM k")
+def kmeans_seeded(spark, sf_dir):
+    return _centroid_rows(spark, cluster.train(embeddings(spark, sf_dir), SEEDED, iterations=2, error=0.0)[0])
 
 
 @register()
-def cluster_covariance_all(spark, sf_dir):
-    assigned = cluster.assign(embeddings(spark, sf_dir), first_centroids(spark, sf_dir))
-    return cluster.covariance(assigned).withColumn("value", F.round("value", 9))
+def mahalanobis_assign(spark, sf_dir):
+    """Of vectors' chunk means: clusters by distance, then each vector's nearest centroid under the clusters' inverse covariances."""
+    short = embeddings(spark, sf_dir).select("vec_id", reshape.chunk_mean(vec.doubles("embedding")).alias("embedding"))
+    first = [list(r["embedding"]) for r in short.where(F.col("vec_id").between(0, K - 1)).orderBy("vec_id").collect()]
+    known = {r["cid"]: r["inverse"] for r in cluster.inverse_covariance(cluster.assign(short, first)).collect()}  # K rows of 8 x 8
+    inverses = [known.get(i) or [[float(p == q) for q in range(8)] for p in range(8)] for i in range(K)]  # without one, the plain distance
+    return cluster.assign_mahalanobis(short, first, inverses).select("vec_id", "cid", F.round("distance", 6).alias("distance"))
 
 
 # --- images and flow -----------------------------------------------------------------------------------------------------
@@ -376,16 +410,77 @@ def flow_heading(spark, sf_dir):
     return flow.heading(flow.pool(_smooth(spark))).select("frame_no", F.round("u", 4).alias("u"), F.round("v", 4).alias("v"))
 
 
-@register()
+def _linear(n: int, m: int) -> str:
+    """(src, o, w): weights of a bilinear resize from n to m pixels."""
+    return f"SELECT s AS src, o, greatest(0, 1 - abs(s - least(greatest((o + 0.5) * {n / m} - 0.5, 0), {n - 1}))) AS w FROM range(0, {n}) AS a(s), range(0, {m}) AS b(o)"
+
+
+def _lanczos(n: int, m: int) -> str:
+    """(src, o, w): weights of a Lanczos resize over three lobes from n down to m pixels."""
+    d = f"(s - ((o + 0.5) * {n / m} - 0.5)) / {n / m}"
+    sinc = "CASE WHEN {0} = 0 THEN 1 ELSE sin(pi() * {0}) / (pi() * {0}) END"
+    return f"SELECT src, o, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT s AS src, o, CASE WHEN abs(d) < 3 THEN ({sinc.format('d')}) * ({sinc.format('(d / 3)')}) ELSE 0 END AS w FROM (SELECT s, o, {d} AS d FROM range(0, {n}) AS a(s), range(0, {m}) AS b(o)))"
+
+
+def _resized(src: str, rows: str, columns: str) -> str:
+    return f"SELECT f, wy.o AS y, wx.o AS x, sum(wy.w * wx.w * {src}.v) AS v FROM {src} JOIN ({rows}) AS wy ON wy.src = {src}.y JOIN ({columns}) AS wx ON wx.src = {src}.x GROUP BY f, wy.o, wx.o"
+
+
+@register(_PX + _OUT.format("v") + f"({_resized('px', _linear(20, 10), _linear(24, 12))})")
 def resize_bilinear(spark, sf_dir):
     return _pixels(grid.per_frame(frames(spark), lambda a: grid.resize(a, 10, 12)))
 
 
-@register()
+@register(_PX + _OUT.format("v") + f"({_resized('px', _lanczos(20, 5), _lanczos(24, 6))})")
 def resize_lanczos(spark, sf_dir):
     return _pixels(grid.per_frame(frames(spark), lambda a: grid.resize(a, 5, 6, 3)))
 
 
+_BGR = "v AS b, (v + 40) % 256 AS g, (v * 3) % 256 AS r"
+
+
+def picture(frames):
+    """Colour pictures as an image reader gives them, of frames of whole numbers."""
+    byte = lambda v: F.lpad(F.hex((v % 256).cast("int")), 2, "0")
+    data = F.unhex(F.array_join(F.transform("data", lambda v: F.concat(byte(v), byte(v + 40), byte(v * 3))), ""))
+    return frames.select(F.format_string("%s %03d", "video_id", "frame_no").alias("path"), "height", "width", F.lit(3).alias("channels"), data.alias("data"))
+
+
+_GREYED = _PX + f", c AS (SELECT f, y, x, {_BGR} FROM px), grey AS (SELECT f, y, x, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS v FROM c)"
+
+
+def _greyed(df):
+    return grid.pixels(df).select(F.substring("video_id", -3, 3).cast("long").alias("frame_no"), "y", "x", F.round("v", 6).alias("v"))
+
+
+@register(_GREYED + _OUT.format("v") + f"({_resized('grey', _linear(20, 15), _linear(24, 16))})")
+def image_grey(spark, sf_dir):
+    return _greyed(grid.grey_frames(picture(frames(spark)), 15, 16))
+
+
+@register(_GREYED + f", blurred AS ({_correlate('grey', 'v', _GAUSS.format(5, 15))})" + _OUT.format("v") + f"({_resized('blurred', _lanczos(20, 10), _lanczos(24, 12))})")
+def flow_preprocess(spark, sf_dir):
+    return _greyed(grid.preprocess(grid.grey_frames(picture(frames(spark))), 10, 12))
+
+
+@register()
+def flow_perform(spark, sf_dir):
+    return _vectors(flow.perform(frames(spark), 16, 20))
+
+
+@register(_PX + ", c AS (SELECT a.f, abs(a.v / 255 - b.v / 255) AS d FROM px AS a JOIN px AS b ON b.f = a.f AND b.y = a.y // 2 * 2 AND b.x = a.x // 2 * 2) SELECT f AS frame_no, count(*)::INT AS pixels, (count(*) FILTER (WHERE d > 0.005))::INT AS different, round(max(d), 9) AS largest FROM c GROUP BY f")
+def image_compare_scaled(spark, sf_dir):
+    unit = frames(spark).withColumn("data", F.transform("data", lambda v: v / 255))
+    half = grid.per_frame(unit, lambda a: a[::2, ::2])
+    return grid.compare(unit, half).select("frame_no", "pixels", "different", F.round("largest", 9).alias("largest"))
+
+
+@register(_PX + " , t AS (SELECT f, y AS r, x AS c, v FROM px) SELECT f AS frame_no, c::INT AS y, (19 - r)::INT AS x, v FROM t")
+def image_turned(spark, sf_dir):
+    turned = frames(spark).withColumn("data", colour.oriented(F.col("data"), F.col("height"), F.col("width"), 1))
+    return _pixels(turned.withColumnsRenamed({"width": "height", "height": "width"}))
+
+
 # --- features of images --------------------------------------------------------------------------------------------------
 def scenes(spark):
     """Six smooth frames."""
@@ -394,7 +489,8 @@ def scenes(spark):
 
 @register()
 def dog_space(spark, sf_dir):
-    return features.differences(scenes(spark)).select("frame_no", "octave", "scale", "height", "width", F.round(F.array_max(F.transform("data", F.abs)), 6).alias("largest"))
+    each = features.differences(scenes(spark)).select("frame_no", "octave", "scale", "width", F.posexplode("data").alias("p", "v"))
+    return each.select("frame_no", "octave", "scale", F.floor(F.col("p") / F.col("width")).cast("int").alias("y"), (F.col("p") % F.col("width")).cast("int").alias("x"), F.round("v", 6).alias("v"))
 
 
 @register()
@@ -419,6 +515,17 @@ def frame_rank_records(spark, sf_dir):
     return match.records(match.image_scores(m, d, F.col("image"))).select("source", "target", F.round("score", 9).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+@register()
+def image_rank(spark, sf_dir):
+    """Pictures to grey frames to descriptors to matches to ranks: three pictures against three."""
+    whole = scenes(spark).withColumn("data", F.transform("data", F.floor))
+    d = features.image_descriptors(picture(whole), 90, 100)
+    image = F.substring("video_id", -3, 3).cast("long")
+    d = d.select((F.shiftleft(image, 32) + F.col("number")).alias("vec_id"), image.alias("image"), F.col("features").cast("array<double>").alias("embedding"))
+    m = match.ratio_match(d.where("image < 3"), sinks.require_rows(d.where("image >= 3"), "references"), absolute=300.0, relative=0.8, group="image")
+    return match.records(match.image_scores(m, d, F.col("image"))).select("source", "target", F.round("score", 9).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 # --- ordered series and names --------------------------------------------------------------------------------------------
 @register("SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events")
 def event_lag(spark, sf_dir):
@@ -448,12 +555,40 @@ def image_names(spark, sf_dir):
 
 @register(_RATIO + """,
 best AS (SELECT *, coalesce(max(score) OVER (PARTITION BY source ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM scores),
-ranked AS (SELECT source, count(*) AS n, max(score) AS top FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY target DESC) AS rank FROM best WHERE score > b) WHERE rank <= 3 GROUP BY source)
-SELECT q.source, coalesce(n, 0)::INT AS n, round(top, 9) AS top FROM (SELECT DISTINCT image AS source FROM e WHERE image < 25) AS q LEFT JOIN ranked AS r ON r.source = q.source""")
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY target DESC) AS rank FROM best WHERE score > b) WHERE rank <= 3)
+SELECT q.source, (rank - 1)::INT AS place, target, round(score, 9) AS score FROM (SELECT DISTINCT image AS source FROM e WHERE image < 25) AS q LEFT JOIN ranked AS r ON r.source = q.source""")
 def image_match_lists(spark, sf_dir):
     e, m = _matches(spark, sf_dir)
     lists = sinks.nested_matches(e.where("image < 25").select(F.col("image").alias("source")).distinct(), match.records(match.image_scores(m, e, F.col("image"))))
-    return lists.select("source", F.size("matches").alias("n"), F.round(F.array_max(F.transform("matches", lambda x: x["score"])), 9).alias("top"))
+    return lists.select("source", F.posexplode_outer("matches").alias("place", "m")).select("source", "place", "m.target", F.round("m.score", 9).alias("score"))
+
+
+_LINE = "SELECT vec_id, label, vec_id % 7 = 0 AS bad, list_transform(range(0, 128), lambda i: round(abs(embedding[i % 64 + 1]::DOUBLE) * 100)::INT) AS fs FROM embeddings"
+
+
+def _lines(spark, sf_dir):
+    """A descriptor's line for each vector; every seventh lacks a number."""
+    e = embeddings(spark, sf_dir)
+    whole = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.round(F.abs(F.get("embedding", i % 64).cast("double")) * 100).cast("int").cast("string"))
+    kept = F.when(F.col("vec_id") % 7 == 0, F.slice(whole, 1, 127)).otherwise(F.concat(whole, F.array(F.lit("more"))))
+    return e.select(F.concat_ws(" ", F.col("vec_id").cast("string"), F.coalesce(F.col("label").cast("string"), F.lit("none")), F.lit("1.5"), F.lit("-0.25"), kept).alias("value"))
+
+
+@register(f"SELECT vec_id::FLOAT AS y, label::FLOAT AS x, 1.5::FLOAT AS sigma, -0.25::FLOAT AS theta, (unnest(range(0, 128)))::INT AS i, unnest(fs) AS feature FROM ({_LINE}) WHERE NOT bad AND label IS NOT NULL")
+def descriptor_text_scan(spark, sf_dir):
+    rows, _ = readers.parse_lines(_lines(spark, sf_dir), readers.DESCRIPTOR_LINE, 128)
+    return rows.select("y", "x", "sigma", "theta", F.posexplode("features").alias("i", "feature"))
+
+
+@register(f"SELECT CASE WHEN label IS NULL THEN 'bad start' ELSE 'bad end' END AS reason, count(*) AS n FROM ({_LINE}) WHERE bad OR label IS NULL GROUP BY ALL")
+def descriptor_text_rejects(spark, sf_dir):
+    _, rejects = readers.parse_lines(_lines(spark, sf_dir), readers.DESCRIPTOR_LINE, 128)
+    return rejects.groupBy(F.when(F.split("value", " ")[1] == "none", "bad start").otherwise("bad end").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("SELECT vec_id::FLOAT AS y, label::FLOAT AS x, 1.5::FLOAT AS sigma FROM embeddings WHERE label IS NOT NULL")
+def keypoint_text_scan(spark, sf_dir):
+    return readers.parse_lines(_lines(spark, sf_dir), readers.DESCRIPTOR_LINE[:3], 0)[0]
 
 
 @register(f"WITH e AS ({_E}) SELECT vec_id, round(e[1] + cos(e[4]) * 1.5 * abs(e[3]), 9) AS ex, round(e[2] + sin(e[4]) * 1.5 * abs(e[3]), 9) AS ey, round(1.5 * abs(e[3]), 9) AS r, round(e[1] + 480, 9) AS x2 FROM e")

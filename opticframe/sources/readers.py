@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# What the numbers that begin a descriptor's line are; a keypoint's line has the first three.
+DESCRIPTOR_LINE = ["y", "x", "sigma", "theta"]
+
+
 def make_names(spark: SparkSession, prefix: str, extension: str, first: int, last: int) -> DataFrame:
     """(ord, name) of a closed range of numbers."""
     return spark.range(first, last + 1).select(F.col("id").alias("ord"), F.format_string(f"{prefix}%d{extension}", "id").alias("name"))
@@ -17,8 +21,9 @@ def scale_space_names(spark: SparkSession, name: str, octaves: int, scales: int,
     return at.withColumn("name", F.format_string(f"{name}_o%03d_s%03d.{extension}", "octave", "scale"))
 
 
-def _numbers(spark: SparkSession, path: str, names: list[str], more: int) -> tuple[DataFrame, DataFrame]:
-    lines = spark.read.text(path).where(F.trim("value") != "")
+def parse_lines(lines: DataFrame, names: list[str], more: int) -> tuple[DataFrame, DataFrame]:
+    """Lines (value) of space-separated numbers as columns `names` and so many whole numbers (features), and the lines that are none; blank lines are skipped."""
+    lines = lines.select("value").where(F.trim("value") != "")
     parts = lines.select("value", F.split(F.trim("value"), r" +").alias("p"))
     at = lambda i: F.try_element_at("p", F.lit(i + 1)).try_cast("float")
     cols = [at(i).alias(n) for i, n in enumerate(names)]
@@ -35,12 +40,12 @@ def _numbers(spark: SparkSession, path: str, names: list[str], more: int) -> tup
 
 def read_descriptors(spark: SparkSession, path: str, length: int = 128) -> tuple[DataFrame, DataFrame]:
     """(y, x, sigma, theta, features) of space-separated lines, and the lines that are none; further columns are ignored."""
-    return _numbers(spark, path, ["y", "x", "sigma", "theta"], length)
+    return parse_lines(spark.read.text(path), DESCRIPTOR_LINE, length)
 
 
 def read_keypoints(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(y, x, sigma), and the lines that are none."""
-    return _numbers(spark, path, ["y", "x", "sigma"], 0)
+    return parse_lines(spark.read.text(path), DESCRIPTOR_LINE[:3], 0)
 
 
 def read_images(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -64,5 +69,5 @@ def synthetic_frames(spark: SparkSession, frames: int = 4, height: int = 20, wid
 
 
 def read_frames(spark: SparkSession, path: str, schema: str, per_trigger: int = 1) -> DataFrame:
-    """Frames as a stream, so many files at a time."""
+    """Frames (Parquet files of the given schema) as a stream, so many files at a time."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
