@@ -478,7 +478,7 @@ def image_compare_scaled(spark, sf_dir):
 @register(_PX + " , t AS (SELECT f, y AS r, x AS c, v FROM px) SELECT f AS frame_no, c::INT AS y, (19 - r)::INT AS x, v FROM t")
 def image_turned(spark, sf_dir):
     turned = frames(spark).withColumn("data", colour.oriented(F.col("data"), F.col("height"), F.col("width"), 1))
-    return _pixels(turned.withColumnsRenamed({"width": "height", "height": "width"}))
+    return _pixels(turned.select("video_id", "frame_no", F.col("height").alias("width"), "data"))
 
 
 # --- features of images --------------------------------------------------------------------------------------------------
@@ -518,7 +518,7 @@ def frame_rank_records(spark, sf_dir):
 @register()
 def image_rank(spark, sf_dir):
     """Pictures to grey frames to descriptors to matches to ranks: three pictures against three."""
-    whole = scenes(spark).withColumn("data", F.transform("data", F.floor))
+    whole = scenes(spark).withColumn("data", F.transform("data", lambda v: F.floor(v).cast("double")))
     d = features.image_descriptors(picture(whole), 90, 100)
     image = F.substring("video_id", -3, 3).cast("long")
     d = d.select((F.shiftleft(image, 32) + F.col("number")).alias("vec_id"), image.alias("image"), F.col("features").cast("array<double>").alias("embedding"))

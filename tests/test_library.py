@@ -378,3 +378,19 @@ def test_resizes_equal_plain_sums():
     for lobes, (h, w) in ((1, (5, 20)), (3, (4, 6)), (3, (9, 14))):
         want = [[sum(wy * wx * a[y, x] for y, wy in enumerate(plain(lobes, 9, h, i)) for x, wx in enumerate(plain(lobes, 14, w, j))) for j in range(w)] for i in range(h)]
         assert np.allclose(grid.resize(a, h, w, lobes), want)
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES.keys() - catalogue.SQL.keys()))
+def test_query_without_sql_has_rows(spark, name):
+    if not Path(DATA).exists():
+        pytest.skip("no test data")
+    rows = catalogue.QUERIES[name](spark, DATA).collect()
+    assert rows and not any(math.isnan(v) for r in rows for v in r if isinstance(v, float))
+    if name == "mahalanobis_assign":
+        x = {r["vec_id"]: np.array(r["embedding"], float).reshape(8, 8).mean(1) for r in catalogue.embeddings(spark, DATA).collect()}
+        first = np.array([x[i] for i in range(catalogue.K)])
+        near = {i: ((v - first) ** 2).sum(1).argmin() for i, v in x.items()}
+        inverse = [np.linalg.inv(np.cov(np.array([x[i] for i in x if near[i] == k]).T, bias=True)) for k in range(catalogue.K)]
+        for r in rows:
+            d = [np.sqrt((x[r["vec_id"]] - c) @ m @ (x[r["vec_id"]] - c)) for c, m in zip(first, inverse)]
+            assert r["cid"] == int(np.argmin(d)) and abs(r["distance"] - min(d)) < 1e-5
