@@ -6,7 +6,8 @@ however large the corpus), and each piece finds its place from its rank among th
 
 1. ``pieces``: token ids, cut at the capacity (one pass over the texts, no shuffle);
 2. ``pack_counts``: index the sums of one, two and three lengths; for the longest open length take
-   combinations that fill its gap exactly, as often as their counts allow; place the rest by best fit;
+   combinations that fill its gap exactly, as often as their counts allow; place the rest by best fit; of
+   the plans with up to three, two, one and no such lengths the one with the fewest sequences holds;
 3. ``pack``: rank every piece within (length, chunk of documents), add what the chunks before hold,
    and look the rank up in the list of places.
 
@@ -48,13 +49,30 @@ class Places:
 
 
 def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> Places:
-    """Packs counts of lengths (1 to capacity) into few sequences."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
+    """Packs counts of lengths (1 to capacity) into few sequences.
+
+    Combinations of up to three lengths that fill gaps can use up the short pieces that the rest needs, so it is also tried
+    with up to two, with one, and with none, until the least possible number of sequences is reached; the fewest win.
+    """
+    for length in counts:
         if not 1 <= length <= capacity:
             raise ValueError(f"length {length} is not in 1..{capacity}")
+    least, best = -(-sum(length * n for length, n in counts.items()) // capacity), None
+    for most in (3, 2, 1, 0):
+        groups = _combine(counts, capacity, most)
+        if best is None or sum(n for _, n in groups) < sum(n for _, n in best):
+            best = groups
+        if sum(n for _, n in best) == least:
+            break
+    return _places(best, capacity)
+
+
+def _combine(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of one sequence, how many such sequences): exact fills of gaps by up to `most` lengths, then best fit."""
+    left = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
         left[length] = n
-    groups: list[tuple[tuple[int, ...], int]] = []  # lengths of one sequence, how many such sequences
+    groups: list[tuple[tuple[int, ...], int]] = []
 
     def take(combo: tuple[int, ...]) -> bool:
         times = min(left[x] // k for x, k in Counter(combo).items())
@@ -66,16 +84,14 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> Places:
 
     take((capacity,))
     for a in range(capacity - 1, 0, -1):
-        if not left[a]:
-            continue
         gap = capacity - a
-        if gap <= capacity:
+        if left[a] and most:
             take((a, gap))
-        if left[a]:
+        if left[a] and most > 1:
             _pairs(take, left, a, gap)
-        if left[a]:
+        if left[a] and most > 2:
             _triples(take, left, a, gap)
-    return _places(groups + _best_fit(left, capacity), capacity)
+    return groups + _best_fit(left, capacity)
 
 
 def _pairs(take, left: np.ndarray, a: int, gap: int, first: tuple[int, ...] = ()) -> None:

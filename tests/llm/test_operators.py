@@ -392,7 +392,13 @@ def test_pack_counts():
         for v in filled.values():
             v.sort()
             assert [o for o, _ in v] == [sum(n for _, n in v[:k]) for k in range(len(v))] and sum(n for _, n in v) <= cap
-        assert len(filled) <= 1.25 * -(-sum(n * c for n, c in counts.items()) // cap) + max(counts.values())
+        room = []
+        for n in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):  # plain best fit
+            at = min((k for k in room if k >= n), default=None)
+            room += [cap - n] if at is None else [at - n]
+            if at is not None:
+                room.remove(at)
+        assert -(-sum(n * c for n, c in counts.items()) // cap) <= len(filled) <= len(room)
     assert packing.pack_counts({5: 3, 3: 3}, 8).sequences == 3 and packing.pack_counts({}, 8).sequences == 0
 
 
