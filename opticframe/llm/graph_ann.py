@@ -24,6 +24,8 @@ from .common import Scratch, bounded_batches
 
 SHARD_ROWS = 4096
 DEGREE, BEAM, ALPHA, EXPAND = 40, 64, 1.2, 4
+#: Products of candidates with each other that are held at once.
+PRODUCTS = 1 << 23
 #: Queries that one task searches for in one shard.
 QUERY_ROWS = 8192
 
@@ -86,14 +88,14 @@ class Graph:
         keep = beam if not all_seen else 2 * beam
         open_ = np.ones(ids.shape, bool)
         while True:
-            top = np.argsort(dist, 1, kind="stable")[:, :keep]
+            top = np.argsort(dist, 1)[:, :keep]
             ids, dist, open_ = ids[row, top], dist[row, top], open_[row, top]
             live = open_[:, :beam]
             active = live.any(1)
             if not active.any():
                 return ids, dist
             rank = np.where(live, live.cumsum(1), beam + 1)
-            pick = np.argsort(rank, 1, kind="stable")[:, :EXPAND]
+            pick = np.argpartition(rank, EXPAND - 1, 1)[:, :EXPAND] if rank.shape[1] > EXPAND else np.broadcast_to(np.arange(rank.shape[1]), rank.shape)
             chosen = np.take_along_axis(rank, pick, 1) <= EXPAND
             open_[row, pick] &= ~chosen
             near = np.where(chosen[:, :, None], self.neighbours[ids[row, pick]], -1).reshape(q, -1).astype(np.int64)
@@ -107,15 +109,20 @@ class Graph:
                 continue
             first = np.argsort(~fresh, 1, kind="stable")[:, :width]
             near, fresh = near[row, first], fresh[row, first]
-            d = np.full(near.shape, np.inf, np.float32)
-            r, c = np.nonzero(fresh)
-            d[r, c] = 2 - 2 * np.einsum("ij,ij->i", queries[r], self.x[near[r, c]])
-            ids, dist, open_ = np.hstack([ids, np.where(fresh, near, 0)]), np.hstack([dist, d]), np.hstack([open_, fresh])
+            near = np.where(fresh, near, 0)
+            d = np.where(fresh, 2 - 2 * np.matmul(self.x[near], queries[:, :, None])[:, :, 0], np.float32(np.inf))
+            ids, dist, open_ = np.hstack([ids, near]), np.hstack([dist, d]), np.hstack([open_, fresh])
 
     def _prune(self, points: np.ndarray, candidates: np.ndarray) -> None:
         """Robust pruning: the nearest candidate is kept and drops those that it is nearer to, by the factor, than the point is; and again."""
+        some = max(1, PRODUCTS // candidates.shape[1] ** 2)
+        for lo in range(0, len(points), some):
+            self._prune_some(points[lo : lo + some], candidates[lo : lo + some])
+
+    def _prune_some(self, points: np.ndarray, candidates: np.ndarray) -> None:
         cx = self.x[candidates]
-        d = 2 - 2 * np.einsum("ijk,ik->ij", cx, self.x[points])
+        d = 2 - 2 * np.matmul(cx, self.x[points][:, :, None])[:, :, 0]
+        apart = 2 - 2 * np.matmul(cx, cx.transpose(0, 2, 1))  # of any two candidates of a point
         same = (candidates < 0) | (candidates == points[:, None])
         order = np.argsort(np.where(same, np.inf, candidates), 1, kind="stable")
         again = np.zeros(candidates.shape, bool)
@@ -130,8 +137,7 @@ class Graph:
             if not has.any():
                 break
             out[has, k] = candidates[row, best][has]
-            between = 2 - 2 * np.einsum("ijk,ik->ij", cx, cx[row, best])
-            alive &= self.alpha * between > d
+            alive &= self.alpha * apart[row, best] > d
             alive[row, best] = False
         self.neighbours[points] = out
 
