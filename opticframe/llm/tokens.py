@@ -19,7 +19,7 @@ SIGNS = string.punctuation.replace("'", "")
 #: Letters are looked for below this place: Latin, Greek and Cyrillic ones.
 LETTERS = 0x530
 #: Words put together, words encoded, at once.
-RUN, STEMS = 1 << 19, 4096
+RUN, STEMS = 1 << 16, 4096
 _ENCODERS: dict[str, "TextEncoder"] = {}
 
 
@@ -29,14 +29,16 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def pieces_of(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The pieces flat[begin : begin + size], one after the other."""
-    out, ends = np.empty(int(size.sum()), flat.dtype), np.concatenate([[0], np.cumsum(size)])
-    for lo in range(0, len(size), RUN):
-        at = slice(lo, lo + RUN)
-        first, last = ends[lo], ends[min(lo + RUN, len(size))]
-        out[first:last] = flat[np.repeat(begin[at] - ends[:-1][at], size[at]) + np.arange(first, last)]
-    return out
+def pieces_of(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+    """The pieces flat[begin : begin + size], one after the other; which: these of them, in this order."""
+    n = len(size) if which is None else len(which)
+    out: list[np.ndarray] = [flat[:0]]
+    for lo in range(0, n, RUN):
+        at = slice(lo, lo + RUN) if which is None else which[lo : lo + RUN]
+        many = size[at]
+        ends = np.cumsum(many)
+        out.append(flat[np.repeat(begin[at] - ends + many, many) + np.arange(ends[-1])])
+    return np.concatenate(out)
 
 
 class TextEncoder:
@@ -137,8 +139,9 @@ class TextEncoder:
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         lists = pc.ascii_split_whitespace(texts)
-        told = lists.flatten().dictionary_encode()
+        edge, told = lists.offsets.to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
         words, which = told.dictionary, told.indices.to_numpy()
+        del lists  # as large as the texts
         stems = pc.ascii_rtrim(words, characters=SIGNS)
         stem = pc.match_substring_regex(stems, self._stem).to_numpy(zero_copy_only=False)
         length = np.where(stem, pc.binary_length(stems).to_numpy(), pc.binary_length(words).to_numpy()).astype(np.int64)
@@ -151,9 +154,9 @@ class TextEncoder:
         # a word's ids: those of its key, then those of its tail
         both = pieces_of(np.concatenate([flat, tail_ids]), np.stack([begin[key], len(flat) + tail_begin], 1).ravel(), np.stack([size[key], tail_size], 1).ravel())
         many = size[key] + tail_size
-        ids = pieces_of(both, (np.cumsum(many) - many)[which], many[which])
-        edge = lists.offsets.to_numpy().astype(np.int64)
+        ids = pieces_of(both, np.cumsum(many) - many, many, which)
         at = np.concatenate([[0], np.cumsum(many[which])])[edge - edge[0]]
+        pa.default_memory_pool().release_unused()
         if end_id is None:
             return ids, at
         return np.insert(ids, at[1:], np.uint32(end_id)), at + np.arange(len(at))
