@@ -50,6 +50,8 @@ SLOTS, DOUBT, PAIRS = 1024, 2.5, 1 << 13
 KEYS = 16
 #: Standard deviations by which `distinct`'s radius stays below the distance of random fingerprints.
 FAR = 6.5
+#: Large shards up to which their sizes are broadcast (16 bytes each).
+BROADCAST_SHARDS = 100_000
 #: A slot that no hash has reached.
 _NONE = np.uint64((1 << 64) - 1)
 #: Sampled fingerprints for each leaf of the tree, and in all at most (8 MB, enough for a thousand million classes); classes of a
@@ -267,10 +269,14 @@ def near_edges(shards: DataFrame, radius: int, ratio: float = 0.0, tile_rows: in
     sketched = "sketch" in shards.columns
     shards = shards.select("leaf", "fp", "rep", "shingles", *(["sketch"] if sketched else []))
     sizes = shards.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile_rows)
-    sizes = sizes.select("leaf", F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("blocks"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int"))
     packs = max(1, shards.count() // tile_rows)
     # sizes: a row for each shard of more than tile_rows rows, whose tiles are a task's each; of smaller ones many are taken together
-    tiled = shards.join(F.broadcast(sizes), "leaf", "left").withColumn("large", F.col("blocks").isNotNull()).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    if sizes.count() <= BROADCAST_SHARDS:
+        tiled = shards.join(F.broadcast(sizes.drop("_n")), "leaf", "left")
+    else:
+        tiled = attach(shards, sizes, "leaf", "_n", shards.count())
+    tiled = tiled.withColumn("large", F.col("blocks").isNotNull()).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     tiled = tiled.withColumn("pack", F.when(F.col("large"), F.col("leaf")).otherwise(F.pmod(F.xxhash64("leaf"), F.lit(packs))))
     tiled = tiled.withColumn("block", F.pmod(F.xxhash64("fp", "shingles", "rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = tiled.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("first", F.col("block") == F.col("i")).drop("block", "other", "blocks")

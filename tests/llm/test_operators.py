@@ -559,7 +559,9 @@ def test_tiles_lose_nothing(spark):
     assert (got.label == want.label).all() and len(set(want.label)) < 400
 
 
-def test_the_tree_follows_the_classes(spark):
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_the_tree_follows_the_classes(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(simhash, "BROADCAST_SHARDS", broadcast)
     rng = np.random.default_rng(10)
     x = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
     x[3000:4000] = x[:1000] ^ (np.uint64(1) << rng.integers(0, 63, 1000).astype(np.uint64))
