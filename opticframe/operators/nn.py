@@ -1,4 +1,4 @@
-"""Exact nearest neighbours: tiles of query block by point block, multiplied in numpy.
+"""Nearest neighbours, exact or of the same random-projection bucket: tiles of query block by point block, multiplied in numpy.
 
 Both sides are dealt to blocks of about BLOCK_BYTES by a hash of their rows; each two blocks of vectors of one length
 meet in a task of bounded memory, which returns at most k points a query and group (or those within the radius).
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .arrays import finite, matrix
 
-#: Bytes of a block's vectors; rows of a product at once; pairs measured at once.
-BLOCK_BYTES, STRIP, PAIRS = 8 << 20, 512, 1 << 16
+#: Bytes of a block's vectors; rows of a product at once; pairs measured at once; one pair asked for in so many, below which pairs are measured without a product.
+BLOCK_BYTES, STRIP, PAIRS, DENSE = 8 << 20, 512, 1 << 16, 32
 FOUND = pa.schema([("query_id", pa.int64()), ("group", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 
 
@@ -44,22 +44,53 @@ def _blocks(df: DataFrame, id_col: str, vector: str, group: str | None) -> tuple
     return dealt.groupBy("dim", "b").applyInArrow(pack, "dim int, b int, ids binary, gs binary, no_g binary, vs binary"), n
 
 
-def nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, own: np.ndarray | None, k: int | None, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of x, ids, distances): of each row of x the k nearest ids of y's rows (None: all) within reach; own: ids that are not their own neighbours."""
+def buckets(v: np.ndarray, length: float, tables: int, seed: int) -> np.ndarray:
+    """(rows of v, tables): in which piece of the length each vector's projection on each table's random direction falls."""
+    to = np.random.default_rng(seed).standard_normal((v.shape[1], tables))
+    with np.errstate(over="ignore"):
+        return np.floor(v @ (to / np.sqrt((to * to).sum(0))) / length)
+
+
+class Buckets:
+    """The rows of each bucket of each table."""
+
+    def __init__(self, y: np.ndarray, hashing: tuple[float, int, int]):
+        self.hashing, self.rows = hashing, len(y)
+        numbers = buckets(y, *hashing)
+        self.order = [np.argsort(n, kind="stable") for n in numbers.T]
+        self.numbers = [n[o] for n, o in zip(numbers.T, self.order)]
+
+    def shared(self, x: np.ndarray) -> np.ndarray:
+        """(rows of x, rows): whether they share a bucket in any table."""
+        out = np.zeros((len(x), self.rows), bool)
+        for n, order, there in zip(buckets(x, *self.hashing).T, self.order, self.numbers):
+            for b in np.unique(n):
+                out[np.ix_(np.flatnonzero(n == b), order[np.searchsorted(there, b) : np.searchsorted(there, b, "right")])] = True
+        return out
+
+
+def nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, own: np.ndarray | None, k: int | None, reach: float, hashing: tuple[float, int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of x, ids, distances): of each row of x the k nearest ids of y's rows (None: all) within reach; own: ids that are not their own
+    neighbours; hashing: only rows that share a bucket."""
     out: list[tuple[np.ndarray, ...]] = []
+    index = None if hashing is None else Buckets(y, hashing)
     square = (y * y).sum(1)
     for lo in range(0, len(x), STRIP):
         a = x[lo : lo + STRIP]
-        length = (a * a).sum(1)[:, None]
-        d = length - 2 * a @ y.T + square
-        slack = 1e-9 * (length + square) + 1e-300  # of the product's rounding, pair by pair
+        asked = np.ones((len(a), len(y)), bool) if index is None else index.shared(a)
         if own is not None:
-            d[own[lo : lo + STRIP, None] == ids] = np.inf
-        least = np.maximum(d - slack, 0)
-        bar = np.full(len(a), reach**2)
-        if k is not None and len(ids) > k:  # the k-th of what the pairs are at most
-            bar = np.minimum(bar, np.partition(d + slack, k - 1, 1)[:, k - 1])
-        r, c = np.nonzero((least <= bar[:, None]) & np.isfinite(d))
+            asked &= own[lo : lo + STRIP, None] != ids
+        if DENSE * np.count_nonzero(asked) < asked.size:
+            r, c = np.nonzero(asked)
+        else:
+            length = (a * a).sum(1)[:, None]
+            d = np.where(asked, length - 2 * a @ y.T + square, np.inf)
+            slack = 1e-9 * (length + square) + 1e-300  # of the product's rounding, pair by pair
+            least = np.maximum(d - slack, 0)
+            bar = np.full(len(a), reach**2)
+            if k is not None and len(ids) > k:  # the k-th of what the pairs are at most
+                bar = np.minimum(bar, np.partition(d + slack, k - 1, 1)[:, k - 1])
+            r, c = np.nonzero((least <= bar[:, None]) & np.isfinite(d))
         exact = np.concatenate([np.zeros(0), *[np.sqrt(((a[r[p : p + PAIRS]] - y[c[p : p + PAIRS]]) ** 2).sum(1)) for p in range(0, len(r), PAIRS)]])
         near = exact <= reach
         r, vid, exact = r[near], ids[c[near]], exact[near]
@@ -76,10 +107,11 @@ def nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, own: np.ndarray | Non
     return tuple(np.concatenate([np.zeros(0, t), *[o[j] for o in out]]) for j, t in enumerate((np.int64, np.int64, np.float64)))
 
 
-def search(queries: DataFrame, points: DataFrame, k: int | None = 1, radius: float | None = None, id_col: str = "vec_id", vector: str = "embedding", group: str | None = None, other: bool = True) -> DataFrame:
+def search(queries: DataFrame, points: DataFrame, k: int | None = 1, radius: float | None = None, id_col: str = "vec_id", vector: str = "embedding", group: str | None = None, other: bool = True, hashing: tuple[float, int, int] | None = None) -> DataFrame:
     """(query_id, group, id, distance, rank): nearest points of each query, in each group of points if there is one.
 
-    k None: all within the radius.  other: a query is not its own neighbour.
+    k None: all within the radius.  other: a query is not its own neighbour.  hashing (length, tables, seed): of the points that
+    share a bucket with the query, see lsh.
     """
     ship(queries.sparkSession)
     (q, m), (p, n) = _blocks(queries, id_col, vector, None), _blocks(points, id_col, vector, group)
@@ -96,7 +128,7 @@ def search(queries: DataFrame, points: DataFrame, k: int | None = 1, radius: flo
             kinds, which = np.unique(np.stack([no_g.astype(np.int64), gs], 1), axis=0, return_inverse=True)
             for g, (none, value) in enumerate(kinds.tolist()):
                 mine = np.flatnonzero(which.ravel() == g)
-                r, vid, d = nearest(x, y[mine], ids[mine], qids if other else None, k, reach)
+                r, vid, d = nearest(x, y[mine], ids[mine], qids if other else None, k, reach, hashing)
                 out.append(pa.table({"query_id": qids[r], "group": pa.array([None if none else value] * len(r), pa.int64()), "id": vid, "distance": d}, schema=FOUND))
         return pa.concat_tables(out)
 
@@ -113,15 +145,15 @@ def point_lookup(queries: DataFrame, points: DataFrame, id_col: str = "vec_id",
     return q.join(points.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")), "v").select("query_id", "id")
 
 
-def lsh(points: DataFrame, id_col: str = "vec_id", vector: str = "embedding", length: float = 0.5, tables: int = 8, threshold: float = 1.2, seed: int = 1) -> DataFrame:
-    """(query_id, id, distance) of pairs that share a random-projection bucket and are within the threshold."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def lsh(points: DataFrame, id_col: str = "vec_id", vector: str = "embedding", length: float = 0.5, tables: int = 8, threshold: float = 1.2, seed: int = 1, queries: DataFrame | None = None, k: int | None = None) -> DataFrame:
+    """(query_id, id, distance) of pairs that share a bucket and are nearer than the threshold; queries: the points themselves by default; k: the k nearest of each.
 
-    rows = points.select(F.col(id_col).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=seed).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, threshold, "distance").where(F.col("datasetA.id") != F.col("datasetB.id"))
-    return pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), "distance")
+    Bucketed random projections: in each table a random direction is cut into pieces of the length, and vectors whose
+    projections fall into one piece share a bucket.  Each block of points is an index of its own, of all its rows, which each
+    query looks its buckets up in; what it finds there is measured exactly, and no pair leaves a task but those within the threshold.
+    """
+    found = search(points if queries is None else queries, points, k, float(np.nextafter(threshold, -np.inf)), id_col, vector, hashing=(length, tables, seed))
+    return found.select("query_id", "id", "distance")
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

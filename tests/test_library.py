@@ -111,6 +111,37 @@ def test_recall_of_all_and_of_half(spark):
     assert nn.recall(nn.lsh(points, length=50.0, threshold=1000.0), truth).first()["ratio"] == 1.0
 
 
+def test_lsh_equals_its_definition(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (300, 5)))] + [(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (40, 2)), 300)]
+    rows += [(400, [0.0] * 5), (401, None), (402, [1.0, None, 1.0, 1.0, 1.0]), (403, [float("nan")] * 5), (None, [0.1] * 5), (3, rows[3][1]), (404, rows[4][1])]
+    points = spark.createDataFrame(rows, TINY)
+    there = [(i, np.array(v)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    monkeypatch.setattr(nn, "BLOCK_BYTES", 4000)  # several blocks
+    for length, tables, threshold in ((0.5, 2, 1.5), (0.01, 1, 3.0), (50.0, 3, 2.0)):
+        number = [nn.buckets(v[None], length, tables, 1)[0] for _, v in there]
+        want = {}
+        for (a, x), m in zip(there, number):
+            for (b, y), n in zip(there, number):
+                if a != b and len(x) == len(y) and (m == n).any() and (d := float(np.sqrt(((x - y) ** 2).sum()))) < threshold:
+                    want[a, b] = min(d, want.get((a, b), d))
+        got = nn.lsh(points, length=length, tables=tables, threshold=threshold).collect()
+        assert len(got) == len(want) and {(r["query_id"], r["id"]): r["distance"] for r in got} == pytest.approx(want)
+        few = nn.lsh(points, length=length, tables=tables, threshold=threshold, queries=points.where("vec_id % 20 = 0"), k=1).collect()
+        best = {a: min((d, b) for (q, b), d in want.items() if q == a) for a, _ in want if a % 20 == 0}
+        assert {r["query_id"]: r["id"] for r in few} == {a: b for a, (_, b) in best.items()} and len(few) == len(best)
+    assert nn.lsh(points.where("false")).count() == 0
+
+
+def test_nn_recall_of_the_queries(spark, tmp_path):
+    """2000 vectors a unit long: 100 queries against all rows."""
+    v = np.random.default_rng(32).normal(0, 1, (2000, 64))
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(v / np.linalg.norm(v, axis=1)[:, None])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    row = catalogue.nn_recall(spark, str(tmp_path)).first()
+    assert row["total"] == 100 and row["ratio"] >= 0.9 and row["correct"] == round(100 * row["ratio"]) and row["mse"] < 1e-3
+
+
 def test_match_lists_and_guard(spark):
     from opticframe.sources import sinks
 
