@@ -12,8 +12,11 @@ no vantage point parts the rows, as with a radius near the spread of random dist
 two blocks of TILE_ROWS are one task's, which compares across and, on the diagonal, within.
 
 ``ratio`` (0: none) links only texts whose numbers of distinct shingles differ by no more than that factor, as
-they do where the Jaccard similarity is ratio or more.  At the radius that goes with such a similarity no vantage
-point parts anything, so classes meet, in place of the tree's shards, where two hashes that follow each other
+they do where the Jaccard similarity is ratio or more.  The radius that goes with such a similarity is near the spread
+of random distances, so no vantage point would part anything with a boundary as wide.  The tree is then built with
+the boundary that does part (``boundary``), and its shards compare all their pairs at the whole radius: up to SHARD_ROWS
+classes are one shard, and every pair is compared; of more, each pair within the boundary meets by the
+triangle bound.  Pairs beyond the boundary that the tree parts meet besides where two hashes that follow each other
 among the KEYS + 1 smallest of their distinct shingles are the same: of similar texts most of these hashes are shared,
 and two that follow each other nearly always.  The work then goes with the number of texts and the sizes of
 their groups, not with the square of all texts.  A pair within
@@ -238,6 +241,11 @@ def _outright(forest: Forest, x: np.ndarray, left: np.ndarray, right: np.ndarray
                 forest.join(i[both], j[both])
 
 
+def boundary(radius: int, blocks: int, ratio: float) -> int:
+    """Bits of the tree's boundary on either side: the radius, so that the tree loses no pair, or with a ratio at most what parts random fingerprints as well as RADIUS does those of one block."""
+    return min(radius, int(RADIUS * np.sqrt(blocks))) if ratio else radius
+
+
 def dealt(classes: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Classes (fp, ...) with leaf: a row for each of their shards of a vantage-point tree."""
     depth = max(0, int(np.ceil(np.log2(max(1, classes.count() / shard_rows)))))
@@ -320,8 +328,11 @@ def link(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int
     # rows of one key have one fp and, with a ratio, one number of shingles and the same meeting keys
     of = [F.col("shingles"), F.col("keys")] if ratio else [F.lit(0).cast("long").alias("shingles")]
     classes = scratch.save(rows.where(F.col("doc_id").isNotNull()).groupBy("key", "fp", *of).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")))
-    shards = scratch.save(met(classes, scratch) if ratio else dealt(classes.select("fp", "rep", "shingles"), radius))
-    components = connected_components(near_edges(shards, radius, ratio, TILE_ROWS if ratio else 4 * SHARD_ROWS), scratch)
+    reach = boundary(radius, blocks, ratio)
+    edges = near_edges(scratch.save(dealt(classes.select("fp", "rep", "shingles"), reach, SHARD_ROWS)), radius, ratio, 4 * SHARD_ROWS)
+    if reach < radius and classes.count() > SHARD_ROWS:  # what the tree may have parted
+        edges = edges.union(near_edges(scratch.save(met(classes, scratch)), radius, ratio))
+    components = connected_components(edges, scratch)
     if ratio:
         near = classes.join(components, F.col("rep") == F.col("node")).select("key", "fp", "shingles", "rep", F.col("component").alias("leaf"))
         sketches = rows.select("key", "sketch").distinct()  # copies fall together before they are shuffled

@@ -626,6 +626,50 @@ def test_repeated_passages_are_near_copies(spark):
     assert simhash.fingerprint(rows[5][1], 5, 4, 16)[1] == simhash.fingerprint(long, 5, 4, 16)[1] + 4 == 20_000
 
 
+def _changed_texts(texts, words, share):
+    """Pairs of texts (2k, 2k + 1), of which the second has so many words changed."""
+    rng = random.Random(26)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for k in range(0, 2 * texts, 2):
+        base = [word() for _ in range(words)]
+        rows += [(k, " ".join(base)), (k + 1, " ".join(word() if j % share == 7 else w for j, w in enumerate(base)))]
+    return rows
+
+
+def test_near_copies_of_one_shard_need_no_keys(spark, monkeypatch):
+    def none_met(classes, scratch):
+        raise AssertionError("the tree has one shard")
+
+    monkeypatch.setattr(simhash, "met", none_met)
+    rows = _changed_texts(50, 100, 60)  # similarity about 0.8 to 0.9
+    kept = simhash.distinct(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, 100, 2))
+
+
+def test_the_tree_of_near_copies_parts_and_loses_none_within_its_boundary(spark, monkeypatch):
+    rows = _changed_texts(40, 8000, 8000)
+    fps = [simhash.fingerprint(t, 5, 4)[0] for _, t in rows]
+    reach = simhash.boundary(76, 4, 0.8)
+    within = [k + 1 for k in range(0, 80, 2) if int(np.bitwise_count(fps[k] ^ fps[k + 1]).sum()) <= reach]
+    leaves, dealt = [], simhash.dealt
+
+    def counted(classes, radius, shard_rows):
+        out = dealt(classes, radius, shard_rows)
+        leaves.append(out.select("leaf").distinct().count())
+        return out
+
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 10)
+    monkeypatch.setattr(simhash, "dealt", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.distinct(docs).collect()} == set(range(0, 80, 2))  # with the keys
+    met = simhash.met
+    monkeypatch.setattr(simhash, "met", lambda classes, scratch: met(classes, scratch).where("false"))
+    gone = set(range(80)) - {r["doc_id"] for r in simhash.distinct(docs).collect()}
+    assert len(within) > 10 and set(within) <= gone <= set(range(1, 80, 2)) and min(leaves) > 2
+    assert simhash.boundary(2, 1, 0.0) == 2 and simhash.boundary(76, 4, 0.0) == 76 and reach == 4
+
+
 def test_short_near_copies(spark):
     rng = random.Random(25)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
