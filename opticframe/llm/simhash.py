@@ -271,14 +271,14 @@ def met(classes: DataFrame, scratch: Scratch) -> DataFrame:
     return there.join(classes.drop("keys", "n"), "key")
 
 
-def near_edges(shards: DataFrame, radius: int, ratio: float = 0.0, tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_edges(shards: DataFrame, radius: int, ratio: float = 0.0, tile_rows: int = TILE_ROWS, pack_rows: int | None = None) -> DataFrame:
     """(a, b) edges between the reps of classes (leaf, fp, rep, shingles[, sketch]) whose components are those of all pairs of one leaf
-    within the radius and ratio, with sketches alike if there are any."""
+    within the radius and ratio, with sketches alike if there are any.  pack_rows: rows of small shards to take together, as many as a tile's by default."""
     sketched = "sketch" in shards.columns
     shards = shards.select("leaf", "fp", "rep", "shingles", *(["sketch"] if sketched else []))
     sizes = shards.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile_rows)
     sizes = sizes.withColumn("blocks", F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int"))
-    packs = max(1, shards.count() // tile_rows)
+    packs = max(1, shards.count() // (pack_rows or tile_rows))
     # sizes: a row for each shard of more than tile_rows rows, whose tiles are a task's each; of smaller ones many are taken together
     if sizes.count() <= BROADCAST_SHARDS:
         tiled = shards.join(F.broadcast(sizes.drop("_n")), "leaf", "left")
@@ -329,7 +329,7 @@ def link(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, blocks: int
     of = [F.col("shingles"), F.col("keys")] if ratio else [F.lit(0).cast("long").alias("shingles")]
     classes = scratch.save(rows.where(F.col("doc_id").isNotNull()).groupBy("key", "fp", *of).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")))
     reach = boundary(radius, blocks, ratio)
-    edges = near_edges(scratch.save(dealt(classes.select("fp", "rep", "shingles"), reach, SHARD_ROWS)), radius, ratio, 4 * SHARD_ROWS)
+    edges = near_edges(scratch.save(dealt(classes.select("fp", "rep", "shingles"), reach, SHARD_ROWS)), radius, ratio, 4 * SHARD_ROWS, TILE_ROWS if ratio else None)  # with a ratio a shard is work for a task: all its pairs
     if reach < radius and classes.count() > SHARD_ROWS:  # what the tree may have parted
         edges = edges.union(near_edges(scratch.save(met(classes, scratch)), radius, ratio))
     components = connected_components(edges, scratch)

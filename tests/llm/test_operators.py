@@ -626,6 +626,20 @@ def test_repeated_passages_are_near_copies(spark):
     assert simhash.fingerprint(rows[5][1], 5, 4, 16)[1] == simhash.fingerprint(long, 5, 4, 16)[1] + 4 == 20_000
 
 
+def test_shards_of_one_table_go_to_many_tasks(spark):
+    rng = np.random.default_rng(27)
+    x = rng.integers(0, 1 << 63, 800, dtype=np.uint64)
+    x[400:] = x[:400] ^ np.uint64(1)
+    shards = spark.createDataFrame([(i % 400 // 50, bytearray(f.tobytes()), i, 0) for i, f in enumerate(x)], "leaf long, fp binary, rep long, shingles long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would put the few rows of a test into one task
+    try:
+        parts = [[p for p in simhash.near_edges(shards, 2, tile_rows=1000, pack_rows=n).rdd.glom().collect() if p] for n in (None, 10)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(parts[0]) == 1 < len(parts[1])
+    assert [sorted((r["a"], r["b"]) for p in e for r in p) for e in parts] == [[(i + 400, i) for i in range(400)]] * 2
+
+
 def _changed_texts(texts, words, share):
     """Pairs of texts (2k, 2k + 1), of which the second has so many words changed."""
     rng = random.Random(26)
